@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import extended, table
 
 #: Words kept in a worker's cache; it is emptied when full, so its memory is bounded.
 CACHE_WORDS = 300_000
@@ -135,7 +135,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: str =
 
     if out in docs.columns:
         raise ValueError(f"docs already has a column {out}")
-    return docs.mapInArrow(run, docs.schema.add(out, "array<int>"))
+    return docs.mapInArrow(run, extended(docs.schema, f"{out} array<int>"))
 
 
 def decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -149,7 +149,7 @@ def decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "d
 
     if out in docs.columns:
         raise ValueError(f"docs already has a column {out}")
-    return docs.mapInArrow(run, docs.schema.add(out, "string"))
+    return docs.mapInArrow(run, extended(docs.schema, f"{out} string"))
 
 
 def digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

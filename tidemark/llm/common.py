@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: ASCII white space that separates words everywhere in this subpackage: blank and \x09 to \x0D.
 _SPACE = np.zeros(256, bool)
@@ -42,6 +43,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def extended(schema: T.StructType, more: str) -> T.StructType:
+    """schema with further columns, given as DDL."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(more).fields])
+
+
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions of the session, for repartition by a key."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -131,3 +137,22 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """(start, end, document, 64-bit hash of the word with A-Z lower-cased)."""
     start, end, doc = words(data, offsets)
     return start, end, doc, substring_hash(prefix_hash(_LOWER[data]), start, end)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Whole groups of a stream sorted by its first `keys` columns (integers), one at a time."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if not t.num_rows:
+            continue
+        key = np.column_stack([t.column(i).to_numpy() for i in range(keys)])
+        edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            part = t.slice(a, b - a)
+            if held and any(held[-1].column(i)[-1].as_py() != part.column(i)[0].as_py() for i in range(keys)):
+                yield pa.concat_tables(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.concat_tables(held)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.bpe import op10_bpe
+from tidemark.llm.near_dedup import op6_near_dedup
 from tidemark.llm.secret_scan import op4_secret_scan
 from tidemark.llm.source_mix import OP8_SQL, op8_source_mix
 from tidemark.llm.topk_search import OP3_SQL, op3_topk
@@ -10,6 +11,7 @@ from tidemark.llm.topk_search import OP3_SQL, op3_topk
 QUERIES = {
     "op3_topk": op3_topk,
     "op4_secret_scan": op4_secret_scan,
+    "op6_near_dedup": op6_near_dedup,
     "op8_source_mix": op8_source_mix,
     "op10_bpe": op10_bpe,
 }

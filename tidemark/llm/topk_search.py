@@ -54,7 +54,7 @@ def accumulate(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFram
                 scores[q] += qw[:, None] * rw[None, :]
             else:
                 scores[np.ix_(q, r)] += qw[:, None] * rw[None, :]
-    low = np.iinfo(np.int64).min
+    low = np.iinfo(np.int64).min + 1  # negated below
     own = ids[None, :] == asked[:, None]
     scores[own] = low
     if len(ids) > k:
@@ -81,8 +81,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "id", t
     queries = queries.select(*pick).dropna()
     n, m = rows.count(), queries.count()
     n_blocks, m_blocks = max(1, -(-n // block_rows)), max(1, -(-m // block_queries))
-    row_block = F.pmod(F.xxhash64("id"), F.lit(n_blocks))
-    query_block = F.pmod(F.xxhash64("id"), F.lit(m_blocks))
+    row_block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
+    query_block = F.pmod(F.xxhash64("id"), F.lit(m_blocks)).cast("int")
     cells = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = queries.withColumn("qb", query_block).withColumn("rb", cells(n_blocks))
     right = rows.withColumn("rb", row_block).withColumn("qb", cells(m_blocks))
