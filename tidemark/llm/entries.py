@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from tidemark.llm.bpe import op10_bpe
+from tidemark.llm.hmm_score import op5_hmm_score
 from tidemark.llm.near_dedup import op6_near_dedup
+from tidemark.llm.quality import op9_quality
 from tidemark.llm.secret_scan import op4_secret_scan
 from tidemark.llm.source_mix import OP8_SQL, op8_source_mix
 from tidemark.llm.topk_search import OP3_SQL, op3_topk
@@ -11,8 +13,10 @@ from tidemark.llm.topk_search import OP3_SQL, op3_topk
 QUERIES = {
     "op3_topk": op3_topk,
     "op4_secret_scan": op4_secret_scan,
+    "op5_hmm_score": op5_hmm_score,
     "op6_near_dedup": op6_near_dedup,
     "op8_source_mix": op8_source_mix,
+    "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
 
