@@ -10,6 +10,7 @@ from tidemark.llm.paragraph_dedup import op2_paragraph_dedup
 from tidemark.llm.quality import op9_quality
 from tidemark.llm.secret_scan import op4_secret_scan
 from tidemark.llm.source_mix import OP8_SQL, op8_source_mix
+from tidemark.llm.suffix_dedup import op7_suffix_dedup
 from tidemark.llm.topk_search import OP3_SQL, op3_topk
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_hmm_score": op5_hmm_score,
     "op6_near_dedup": op6_near_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_source_mix": op8_source_mix,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,

@@ -147,7 +147,6 @@ def _links(cosine: float):
         linked &= (own[:, None] != own[None, :]) if bi != bj else ~np.eye(len(own), dtype=bool)
         i, j = np.nonzero(linked)
         linked[i, j] = told(key & 63, keys[i], keys[j])
-        linked |= False
         links = linked @ mult
         if not links.any():
             return
