@@ -7,7 +7,8 @@
    candidates are linear in the classes. They are confirmed on full sets and joined into components.
 3. A star can miss two members that are alike but unlike its centre. Buckets that still hold several components are
    therefore compared whole: in blocks of bounded size, only across components, and only pairs whose sizes and
-   signatures allow the similarity (six standard deviations below it). What they find is confirmed on full sets too.
+   signatures allow the similarity (six standard deviations below it). A block confirms them on full sets itself and
+   sends on a forest of links, never its pairs.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 #: The chance that a pair just at the threshold shares no band.
 MISS = 1e-5
-#: Bytes of text handled at once, classes of a block, members confirmed by a task against one centre.
-PIECE, BLOCK, MEMBERS = 1 << 20, 256, 512
+#: Bytes of text handled at once, classes and shingles of a block, members confirmed by a task against one centre.
+PIECE, BLOCK, BLOCK_HASHES, MEMBERS = 1 << 20, 256, 1_000_000, 512
 #: Standard deviations below the threshold at which a signature rules a pair out (about one in a billion).
 SLACK = 6.0
 
@@ -160,6 +161,15 @@ def full_sets(units: DataFrame, ids: list[str], text_col: str, rows: DataFrame,
     return slim.select("cid", "text").mapInArrow(run, "cid long, set binary")
 
 
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many hashes two sorted sets share."""
+    if len(a) < len(b):
+        a, b = b, a
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    return int(np.count_nonzero(a[at] == b))
+
+
 def _confirm(percent: int):
     """Streams (c, salt, role, a, set) sorted by c, salt, role: a centre's set, then its members'."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,9 +183,7 @@ def _confirm(percent: int):
                     continue
                 if c != centre or not len(have):
                     raise ValueError("a centre is missing")
-                at = np.searchsorted(have, x)
-                at[at == len(have)] = 0
-                both = int(np.count_nonzero(have[at] == x))
+                both = common(have, x)
                 if 100 * both >= percent * (len(have) + len(x) - both):
                     us.append(a)
                     vs.append(c)
@@ -204,51 +212,58 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(percent: int, bands: int, rows: int):
-    """Pairs of different components in a block, told once: in the first band that they share."""
+    """Links across components in a block (key, bi, bj, own, cid, comp, n, bands, set): confirmed on full sets, a forest.
+
+    A pair is looked at only in the first band that it shares, and not once its components have met in the block.
+    """
     least = bands * rows * percent / 100
     least -= SLACK * math.sqrt(bands * rows * percent / 100 * (1 - percent / 100))
 
-    def pairs(key: int, bi: int, bj: int, side, comp, size, sig, cids) -> tuple[list, list]:
+    def links(key: int, bi: int, bj: int, side, comp, size, sig, sets) -> list[tuple[int, int]]:
         left = np.flatnonzero(side == bi)
         right = left if bi == bj else np.flatnonzero(side == bj)
-        us, vs = [], []
-        band = key >> 48
-        codes = band_bins(sig, rows)
+        band, codes, out = key >> 48, band_bins(sig, rows), []
         for i in left:
             js = right[right > i] if bi == bj else right
             js = js[comp[js] != comp[i]]
             js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
             if len(js):
                 js = js[~(sig[js, :band] == sig[i, :band]).any(axis=1)]
-                js = js[(codes[js] == codes[i]).sum(axis=1) >= least]
-            us += cids[js].tolist()
-            vs += [int(cids[i])] * len(js)
-        return us, vs
+                alike = (codes[js] == codes[i]).sum(axis=1)
+                js = js[alike >= least][np.argsort(-alike[alike >= least], kind="stable")]
+            for j in js:
+                if comp[i] != comp[j]:
+                    both = common(sets[i], sets[j])
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        out.append((i, j))
+                        comp[comp == comp[j]] = comp[i]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, 3):
             key, bi, bj = (g.column(i)[0].as_py() for i in range(3))
-            sig = np.array(g.column(7).to_pylist(), np.int64)
             side, cids, comp, size = (g.column(i).to_numpy() for i in range(3, 7))
-            us, vs = pairs(key, bi, bj, side, comp, size, sig, cids)
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+            sig = np.array(g.column(7).to_pylist(), np.int64)
+            found = links(key, bi, bj, side, comp.copy(), size, sig, [np.frombuffer(x.as_buffer(), np.uint64) for x in g.column(8)])
+            if found:
+                i, j = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(cids[i]), pa.array(cids[j])], ["u", "v"])
 
     return run
 
 
-def residual_pairs(shared: DataFrame, classes: DataFrame, parts: DataFrame, percent: int, shape: tuple[int, int]) -> DataFrame:
-    """Pairs (u, v) that share a bucket of several components and may be similar.
+def residual_links(shared: DataFrame, classes: DataFrame, sets: DataFrame, parts: DataFrame, percent: int, shape: tuple[int, int]) -> DataFrame:
+    """Links (u, v) between components that share a bucket, at most one fewer than a block's members for each block.
 
-    shared: bk, cid; classes: cid, n, bands; parts: node, component.
+    shared: bk, cid, n; classes: cid, n, bands; sets: cid, set; parts: node, component.
     """
-    placed = shared.join(parts, F.col("cid") == F.col("node"), "left").select("bk", "cid", F.coalesce("component", "cid").alias("comp"))
-    several = placed.groupBy("bk").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size")).where("a <> b")
-    several = several.select("bk", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(several, "bk").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    placed = shared.join(parts, F.col("cid") == F.col("node"), "left").select("bk", "cid", "n", F.coalesce("component", "cid").alias("comp"))
+    several = placed.groupBy("bk").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size"), F.sum("n").alias("load")).where("a <> b")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("load") / BLOCK_HASHES)).cast("int")
+    rows = placed.drop("n").join(several.select("bk", blocks.alias("blocks")), "bk").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bk", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "cid", "comp").join(classes, "cid")
-    rows = rows.select("bk", "bi", "bj", "own", "cid", "comp", "n", "bands")
+    rows = rows.select("bk", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "cid", "comp").join(classes, "cid").join(sets, "cid")
+    rows = rows.select("bk", "bi", "bj", "own", "cid", "comp", "n", "bands", "set")
     dealt = rows.repartition(partitions(rows), "bk", "bi", "bj").sortWithinPartitions("bk", "bi", "bj")
     return dealt.mapInArrow(_across(percent, *shape), "u long, v long")
 
@@ -274,8 +289,7 @@ def near_duplicates(units: DataFrame, ids: list[str], text_col: str = "text", pe
     sets = materialize(full_sets(units, ids, text_col, needed, size), "sets")
     links = materialize(confirmed(star, sets, percent), "links")
     parts = materialize(components(links), "parts")
-    rest = residual_pairs(shared.select("bk", "cid"), classes.select("cid", "n", "bands"), parts, percent, shape)
-    more = materialize(confirmed(rest, sets, percent), "more")
+    more = materialize(residual_links(shared.select("bk", "cid", "n"), classes.select("cid", "n", "bands"), sets, parts, percent, shape), "more")
     if not more.isEmpty():
         parts = materialize(components(links.union(more)), "parts")
     placed = classes.select("fp", "cid").join(parts, F.col("cid") == F.col("node"), "left").select("fp", F.coalesce("component", "cid").alias("_class"))
