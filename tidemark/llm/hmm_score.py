@@ -109,6 +109,19 @@ def encoded(docs: DataFrame, head: tuple[np.ndarray, np.ndarray], own: np.ndarra
     return slim.mapInArrow(run, f"key long, doc_id {kind}, held boolean, h long, n long, known long, sum double, den double, classes binary")
 
 
+def head(counts: DataFrame, most: int = HEAD_WORDS) -> DataFrame:
+    """The words of highest count, `most` or fewer: those from the lowest eighth of an octave on that leaves so few."""
+    octave = F.floor(F.log2("c") * 8).cast("int")
+    sizes = counts.groupBy(octave.alias("o")).count().collect()  # a few hundred rows
+    cut, total = 1 << 20, 0
+    for row in sorted(sizes, key=lambda r: -r["o"]):
+        total += row["count"]
+        if total > most:
+            break
+        cut = row["o"]
+    return counts.where(octave >= cut)
+
+
 class Hmm:
     """Parameters: start [K], move [K, K], emit [classes, K] (each column sums to 1)."""
 
@@ -247,7 +260,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     counts = materialize(word_counts(docs.where(~held_out(F.col("doc_id")))), "counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(HEAD_WORDS).toArrow()  # a fixed number of rows
+    top = head(counts).toArrow()
     head_h, head_c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
     rank = np.lexsort((head_h.view(np.int64), -head_c))[: OWN_CLASSES]
     own = head_h[rank]
