@@ -73,7 +73,7 @@ FAMILIES: dict[str, dict[str, str]] = {
     },
     "correlation": {
         "corr_price_turn": f"Corr({T}, {P}, 12)", "corr_price_turn_post": f"Corr(Ref($turnover, 2), {P}, 12)", "corr_price_turn_prior": f"Corr({T}, Ref($close, 2), 12)", "corr_ret_turn": f"Corr({T}, {R}, 12)",
-        "corr_ret_dturn": f"Corr(Delta({T}, 1), {R}, 12)", "corr_price_vol": f"Corr({R}, {V} / Ref($vol, 2) - 1, 12)", "cov_ret_turn": f"Cov({T}, {R}, 12)",
+        "corr_ret_dvol": f"Corr(Delta({V}, 1), {R}, 12)", "corr_price_vol": f"Corr({R}, {V} / Ref($vol, 2) - 1, 12)", "cov_ret_turn": f"Cov({T}, {R}, 12)",
     },
     "technical": {
         "tech_rsi_12": rsi(12), "tech_to_ma_12": f"{P} / Mean({P}, 12) - 1", "tech_ma_ratio": f"Mean({P}, 4) / Mean({P}, 26)", "tech_macd_dif": f"{DIF} / {P}", "tech_macd_hist": f"({DIF} - EMA({DIF}, 9)) / {P}",

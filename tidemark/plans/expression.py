@@ -247,6 +247,8 @@ def compile_frame(df: DataFrame, expressions: dict[str, str], keys: tuple[str, .
     roots = {name: parse(text) for name, text in expressions.items()}
     if missing := set().union(*[r.fields() for r in roots.values()]) - set(df.columns):
         raise ExpressionError(f"unknown fields {sorted(missing)}")
+    if taken := set(expressions) & set(df.columns):
+        raise ExpressionError(f"names taken by fields {sorted(taken)}")
     frame, made = _Frame(list(keys), order), {}
 
     def column(node: Node) -> Column:
@@ -330,7 +332,9 @@ def _sql_rolling(node: Node, x: list[str], numbers: list[float], clock: str, ove
     cov = f"covar_samp({a}, {b}) {w}"
     if name == "Cov":
         return cov
-    return f"CASE WHEN var_samp({a}) {w} > 0 AND var_samp({b}) {w} > 0 THEN corr({a}, {b}) {w} END"
+    n, sa, sb = f"count({a}) {w}", f"sum({a}) {w}", f"sum({b}) {w}"
+    va, vb = (f"({n} * sum({c} * {c}) {w} - {s} * {s})" for c, s in ((a, sa), (b, sb)))
+    return f"CASE WHEN stddev_samp({a}) {w} > 0 AND stddev_samp({b}) {w} > 0 THEN ({n} * sum({a} * {b}) {w} - {sa} * {sb}) / nullif(sqrt({va}) * sqrt({vb}), 0) END"
 
 
 def compile_sql(expressions: dict[str, str], source: str, keys: str = "instrument", order: str = "date", clock: str = "day_no") -> tuple[str, dict[str, str]]:

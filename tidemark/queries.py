@@ -41,3 +41,17 @@ def _factor_sql(family: dict[str, str]) -> str:
 for _name, _family in FAMILIES.items():
     QUERIES[f"factors_{_name}"] = _factor_query(_family)
     ORACLE_SQL[f"factors_{_name}"] = _factor_sql(_family)
+
+
+def query(name: str, sql: str | None = None, with_panel: bool = True):
+    """Register a query; sql may start from the panel's CTEs."""
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        if sql is not None:
+            ORACLE_SQL[name] = f"WITH {PANEL_SQL},\n{sql}" if with_panel else sql
+        return f
+
+    return register
+
+
+from tidemark import panel_queries  # noqa: E402, F401
