@@ -11,6 +11,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import extended, table
 
-#: Words kept in a worker's cache; it is emptied when full, so its memory is bounded.
-CACHE_WORDS = 300_000
+#: Words in a worker's cache at most, and those that stay, the first met, when it is full or a partition ends.
+CACHE_WORDS, CACHE_KEPT = 300_000, 60_000
 #: Words longer than this are encoded without the cache.
 CACHED_LENGTH = 48
 
@@ -51,7 +52,12 @@ class WordBpe:
         self.space = regex.compile(r"\p{White_Space}+")
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.bytes = byte_alphabet()
-        self.cache: dict[str, tuple[int, str, str]] = {}
+        self.texts = {str(i): t for i, t in self.names.items()}
+        self.cache: dict[str, str] = {}
+
+    def trim(self) -> None:
+        if len(self.cache) > CACHE_KEPT:
+            self.cache = dict(islice(self.cache.items(), CACHE_KEPT))
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Merge the pair of lowest rank, leftmost first. Queue entries made stale by an earlier merge are skipped."""
@@ -78,17 +84,16 @@ class WordBpe:
                 heapq.heappush(queue, (r, h, symbols[h], symbols[i]))
         return [s for s, a in zip(symbols, alive, strict=True) if a]
 
-    def word(self, text: str) -> tuple[int, str, str]:
-        """(number of tokens, ids as text, token strings as text) of one word of the split pattern."""
+    def word(self, text: str) -> str:
+        """The ids, as text, of one word of the split pattern."""
         got = self.cache.get(text)
         if got is None:
             symbols = [self.bytes[b] for b in text.encode("utf-8")]
             symbols[-1] += self.suffix
-            tokens = [t for t in self.merge(symbols) if t in self.vocab]
-            got = (len(tokens), " ".join(str(self.vocab[t]) for t in tokens), " ".join(tokens))
+            got = " ".join([str(self.vocab[t]) for t in self.merge(symbols) if t in self.vocab])
             if len(text) <= CACHED_LENGTH:
                 if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
+                    self.trim()
                 self.cache[text] = got
         return got
 
@@ -96,17 +101,18 @@ class WordBpe:
         text = self.space.sub(" ", unicodedata.normalize("NFC", text))
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
-    def parts(self, text: str) -> Iterator[tuple[int, str, str]]:
-        """Words and special tokens of the text, in order."""
-        at = 0
+    def ids_text(self, text: str) -> str:
+        """Decimal ids of words and special tokens in order, joined by a blank."""
+        at, out = 0, []
         for mark in self.marks.finditer(text) if self.marks and "<|" in text else ():
-            yield from map(self.word, self.split.findall(self.normalized(text[at : mark.start()])))
-            yield 1, str(self.special[mark[0]]), mark[0]
+            out += map(self.word, self.split.findall(self.normalized(text[at : mark.start()])))
+            out.append(str(self.special[mark[0]]))
             at = mark.end()
-        yield from map(self.word, self.split.findall(self.normalized(text[at:] if at else text)))
+        out += map(self.word, self.split.findall(self.normalized(text[at:] if at else text)))
+        return " ".join(filter(None, out))
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for _, ids, _ in self.parts(text) for x in ids.split()]
+        return [int(x) for x in self.ids_text(text).split()]
 
     def decode(self, ids: list[int]) -> str:
         """Vocabulary strings joined by a blank, as the file names no decoder; ids it doesn't have are skipped."""
@@ -132,6 +138,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: str =
             at = batch.schema.get_field_index(text_col)
             ids = pa.array([bpe.encode(t or "") for t in batch.column(at).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, out])
+        bpe.trim()
 
     if out in docs.columns:
         raise ValueError(f"docs already has a column {out}")
@@ -164,11 +171,13 @@ def digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             n, ids, decoded = [], [], []
             for text in batch.column(1):
-                got = [p for p in bpe.parts(text.as_py() or "") if p[0]]
-                n.append(sum(p[0] for p in got))
-                ids.append(sha(" ".join([p[1] for p in got])))
-                decoded.append(sha(" ".join([p[2] for p in got])))
+                joined = bpe.ids_text(text.as_py() or "")
+                each = joined.split()
+                n.append(len(each))
+                ids.append(sha(joined))
+                decoded.append(sha(" ".join([bpe.texts[i] for i in each])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.trim()
 
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
