@@ -10,20 +10,24 @@ from tidemark.llm.common import mix64, powers, prefix_hash
 WINDOW, GRAM = 100, 37
 #: Places in a window (64, so that flags of an anchor's windows fit a long).
 SPAN = WINDOW - GRAM + 1
+#: Windows are told apart by how far their anchor lies in: parts of PART places, whose windows all hold the same LONG bytes.
+PART = 32
+LONG = WINDOW - PART + 1
 #: Low bits that hold a place while the smallest hash of a window is sought: of equal hashes the leftmost wins.
 _PLACE = 26
 
 
-def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: (text, start of the first window, number of windows, hash of the anchor's gram).
+def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor and one part: (text, start, number of windows, long hash, anchor, anchor's hash).
 
-    Every window of every text of WINDOW bytes or more is in exactly one run; windows don't cross texts. The anchor of a
-    window depends on its bytes only, so equal windows have equal hashes and lie alike in their runs.
+    Every window of every text of WINDOW bytes or more is in exactly one run; windows don't cross texts. Anchor and part
+    of a window depend on its bytes only, so equal windows have equal hashes and lie alike in their runs. The long hash
+    is that of the LONG bytes that all windows of the anchor and part hold, and so seldom repeats by chance.
     """
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < WINDOW:
-        return none, none, none, none
+        return (none,) * 6
     prefix = prefix_hash(data)
     _, down = powers(n + 1)
     with np.errstate(over="ignore"):
@@ -43,12 +47,18 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     np.add.at(room, offsets[has], 1)
     np.add.at(room, offsets[has] + lengths[has] - WINDOW + 1, -1)
     inside = np.cumsum(room[:-1]) > 0
+    place = np.arange(len(best), dtype=np.int64)
+    ahead = ((best - place.astype(np.uint64)) & mask).astype(np.int64)
+    part = ahead // PART
     head = inside.copy()
-    head[1:] &= (best[1:] != best[:-1]) | ~inside[:-1]
+    head[1:] &= (best[1:] != best[:-1]) | (part[1:] != part[:-1]) | ~inside[:-1]
     head[offsets[has]] = True
     start = np.flatnonzero(head)
     text = np.searchsorted(offsets, start, side="right") - 1
     last = offsets[text] + lengths[text] - WINDOW + 1
     count = np.minimum(np.r_[start[1:], len(best)], last) - start
-    anchor = start + ((best[start] - start.astype(np.uint64)) & mask).astype(np.int64)
-    return text, start, count, hashes[anchor].view(np.int64)
+    anchor = start + ahead[start]
+    low = anchor - PART * part[start]
+    with np.errstate(over="ignore"):
+        long = mix64((prefix[low + LONG] - prefix[low]) * down[low] + part[start].astype(np.uint64))
+    return text, start, count, long.view(np.int64), anchor, hashes[anchor].view(np.int64)

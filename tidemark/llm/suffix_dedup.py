@@ -1,7 +1,7 @@
 """Suffix-array dedup: every byte covered by a string of 100 bytes that also starts earlier is removed.
 
-1. Anchors: each 100-byte window has a content-defined anchor, so equal windows meet under one hash. Hashes seen twice
-   or more set bits in a filter of fixed size; a false bit only costs work.
+1. Anchors: each 100-byte window has a content-defined anchor, so equal windows meet under one hash. Hashes of the 69
+   bytes around it that are seen twice or more set bits in a filter of fixed size; a false bit only costs work.
 2. Shards: runs of windows whose anchor may repeat go, with their bytes, to the shard of that hash. A shard builds the
    suffix array of its distinct pieces by Larsson-Sadakane refinement, and Kasai's recursion gives the common prefixes;
    suffixes that share 100 bytes are one group, and all but its earliest member are repeats.
@@ -24,7 +24,7 @@ from tidemark.llm.anchors import WINDOW, runs
 from tidemark.llm.common import byte_view, materialize, partitions, pieces, table
 
 #: Bits of the filter (16 MB), whatever the corpus; bytes of a shard; bytes of text handled at once.
-FILTER_BITS, SHARD, PIECE = 27, 2 << 20, 1 << 20
+FILTER_BITS, SHARD, PIECE = 27, 1 << 20, 1 << 20
 #: A hash with more than this part of all anchors is spread over shards; so at most its inverse are.
 HOT = 1e-4
 
@@ -115,15 +115,19 @@ def survivors(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def _hashes(docs: DataFrame) -> DataFrame:
+    """h, key, c: counts of the long hashes (key false), and of the anchors' hashes that are frequent in some piece."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = byte_view(batch.column(0))
             for lo, hi in pieces(offsets, PIECE):
-                h = runs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[3]
+                *_, h, _, g = runs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 u, c = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c)], ["h", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c), pa.array(np.zeros(len(u), bool))], ["h", "c", "key"])
+                u, c = np.unique(g, return_counts=True)
+                u, c = u[c >= max(4, len(g) * HOT / 2)], c[c >= max(4, len(g) * HOT / 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c), pa.array(np.ones(len(u), bool))], ["h", "c", "key"])
 
-    return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, "h long, c long, key boolean").groupBy("h", "key").agg(F.sum("c").alias("c"))
 
 
 def _filter(repeated: DataFrame) -> np.ndarray:
@@ -155,8 +159,12 @@ def _pieces(docs: DataFrame, words, hot: dict[int, int]) -> DataFrame:
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             for lo, hi in pieces(offsets, PIECE):
-                text, start, count, h = runs(part := data[offsets[lo] : offsets[hi]], own := offsets[lo : hi + 1] - offsets[lo])
-                go = np.flatnonzero(_may_repeat(words.value, h))
+                text, start, count, long, anchor, h = runs(part := data[offsets[lo] : offsets[hi]], own := offsets[lo : hi + 1] - offsets[lo])
+                go = np.flatnonzero(_may_repeat(words.value, long))
+                # parts of one anchor that both may repeat are one piece
+                joint = np.flatnonzero(np.r_[False, (anchor[go][1:] == anchor[go][:-1]) & (start[go][1:] == (start + count)[go][:-1])])
+                count[go[joint - 1]] += count[go[joint]]
+                go = np.delete(go, joint)
                 go = go[np.argsort(rank[lo + text[go]], kind="stable")]
                 raw = part.tobytes()
                 cut = [raw[s : s + c + WINDOW - 1] for s, c in zip(start[go].tolist(), count[go].tolist(), strict=True)]
@@ -251,8 +259,8 @@ def _cut(words):
             out = []
             for lo, hi in pieces(offsets, PIECE):
                 part, own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                text, start, count, h = runs(part, own)
-                go = np.flatnonzero(_may_repeat(words.value, h))
+                _, start, count, long, *_ = runs(part, own)
+                go = np.flatnonzero(_may_repeat(words.value, long))
                 steps = np.zeros(len(part) + 1, np.int64)
                 np.add.at(steps, start[go], 1)
                 np.add.at(steps, start[go] + count[go], -1)
@@ -291,10 +299,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     slim = docs.select(F.col(id_col).alias("id"), order.alias("doc"), F.hash(text_col).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = materialize(_hashes(slim).where("c > 1"), "anchors")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    repeated = counts.where("NOT key")
+    total = repeated.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     share = max(total * HOT, 1000.0)
-    hot = {r["h"]: int(-(-r["c"] // share)) for r in counts.where(F.col("c") > share).collect()}  # at most 1 / HOT rows
-    words = spark.sparkContext.broadcast(_filter(counts))
+    hot = {r["h"]: int(-(-r["c"] // share)) for r in counts.where(F.col("key") & (F.col("c") > share)).collect()}  # at most 1 / HOT rows
+    words = spark.sparkContext.broadcast(_filter(repeated))
     alive = alive_windows(slim.select("doc", "th", "text"), words, hot)
     lists = alive.groupBy("doc", "th").agg(F.collect_list("at").alias("places"), F.collect_list("alive").alias("flags"))  # at most a document's windows
     joined = slim.join(lists, ["doc", "th"], "left").select("id", "text", "places", "flags")
