@@ -13,15 +13,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import extended, table
+from tidemark.llm.common import byte_view, extended, pieces, table
 
 #: Words in a worker's cache at most, and those that stay, the first met, when it is full or a partition ends.
 CACHE_WORDS, CACHE_KEPT = 300_000, 60_000
+#: Bytes of text whose ids are held at once.
+PIECE = 1 << 20
 #: Words longer than this are encoded without the cache.
 CACHED_LENGTH = 48
 
@@ -136,8 +139,12 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: str =
         bpe = encoder(vocabulary)
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            ids = pa.array([bpe.encode(t or "") for t in batch.column(at).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, out])
+            for lo, hi in pieces(byte_view(batch.column(at))[1], PIECE):
+                part = batch.slice(lo, hi - lo)
+                ids = [np.array(bpe.ids_text(t.as_py() or "").split(), np.int32) for t in part.column(at)]
+                offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in ids])], pa.int32())
+                flat = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([*part.columns, flat], [*batch.schema.names, out])
         bpe.trim()
 
     if out in docs.columns:
