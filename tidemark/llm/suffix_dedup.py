@@ -24,7 +24,7 @@ from tidemark.llm.anchors import WINDOW, runs
 from tidemark.llm.common import byte_view, materialize, partitions, pieces, table
 
 #: Bits of the filter (16 MB), whatever the corpus; bytes of a shard; bytes of text handled at once.
-FILTER_BITS, SHARD, PIECE = 27, 1 << 20, 1 << 20
+FILTER_BITS, SHARD, PIECE = 27, 1 << 19, 1 << 18
 #: A hash with more than this part of all anchors is spread over shards; so at most its inverse are.
 HOT = 1e-4
 
@@ -110,7 +110,7 @@ def survivors(texts: list[bytes]) -> list[np.ndarray]:
     first = np.full(int(group.max(initial=0)) + 1, len(data))
     np.minimum.at(first, group, pos)
     alive = np.zeros(len(data), bool)
-    alive[first[np.unique(group)]] = True
+    alive[first[first < len(data)]] = True
     return [alive[s : s + z - WINDOW + 1] for s, z in zip(start, size, strict=True)]
 
 
