@@ -95,8 +95,10 @@ def _kasai(data: np.ndarray, sa: np.ndarray, start: np.ndarray, size: np.ndarray
     return common
 
 
-def survivors(texts: list[bytes]) -> list[np.ndarray]:
-    """For each of the distinct texts, in order of place: which of its windows no earlier text holds."""
+def survivors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct texts in order of place, laid end to end: where each starts, which windows no earlier text holds by
+    place, and by text, the first window in the lowest bit.
+    """
     data = np.frombuffer(b"".join(texts), np.uint8)
     size = np.array([len(t) for t in texts], np.int64)
     start = np.cumsum(size) - size
@@ -111,7 +113,8 @@ def survivors(texts: list[bytes]) -> list[np.ndarray]:
     np.minimum.at(first, group, pos)
     alive = np.zeros(len(data), bool)
     alive[first[first < len(data)]] = True
-    return [alive[s : s + z - WINDOW + 1] for s, z in zip(start, size, strict=True)]
+    place = np.minimum(np.arange(len(data)) - start[text], 63).astype(np.uint64)  # windows lie below 64
+    return start, alive, np.add.reduceat(alive.astype(np.uint64) << place, start)
 
 
 def _hashes(docs: DataFrame) -> DataFrame:
@@ -187,11 +190,13 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def solve(held: list[tuple], split: list[bool]) -> pa.RecordBatch:
         rows = []
-        for (doc, th, at, raw), alive, s in zip(held, survivors([x[3] for x in held]), split, strict=True):
+        start, alive, flags = survivors([x[3] for x in held])
+        for (doc, th, at, raw), a, f, s in zip(held, start.tolist(), flags.tolist(), split, strict=True):
             if not s:
-                rows.append((doc, th, at, int((alive.astype(np.uint64) << np.arange(len(alive), dtype=np.uint64)).sum()), None))
+                if f:
+                    rows.append((doc, th, at, f, None))
             else:
-                rows += [(doc, th, at + int(k), 1, hashlib.blake2b(raw[k : k + WINDOW], digest_size=16).digest()) for k in np.flatnonzero(alive)]
+                rows += [(doc, th, at + int(k), 1, hashlib.blake2b(raw[k : k + WINDOW], digest_size=16).digest()) for k in np.flatnonzero(alive[a : a + len(raw) - WINDOW + 1])]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.uint64(), pa.binary())
         arrays = [pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)]
