@@ -3,7 +3,7 @@
 1. Anchors: each 100-byte window has a content-defined anchor, so equal windows meet under one hash. Hashes of the 69
    bytes around it that are seen twice or more set bits in a filter of fixed size; a false bit only costs work.
 2. Shards: runs of windows whose anchor may repeat go, with their bytes, to the shard of that hash. A shard builds the
-   suffix array of its distinct pieces by Larsson-Sadakane refinement, and Kasai's recursion gives the common prefixes;
+   suffix array of its distinct pieces by Larsson-Sadakane refinement, and Kasai's recursion gives its windows' prefixes;
    suffixes that share 100 bytes are one group, and all but its earliest member are repeats.
 3. Merging: a hash with more than its part of all anchors is spread over many shards. Their survivors' prefixes, sorted,
    are merged by binary search, which leaves the earliest of each prefix.
@@ -37,59 +37,67 @@ def _refine(symbols: np.ndarray, end: np.ndarray) -> np.ndarray:
     """
     n = len(symbols)
     padded = np.r_[symbols.astype(np.int64), np.zeros(7, np.int64)]
-    room = end - np.arange(n)
+    room = (end - np.arange(n)).astype(np.int32)
     key = np.zeros(n, np.int64)
     for j in range(7):
-        key = (key << 9) | np.where(room > j, padded[j : j + n], 0)
-    sa = np.argsort(key)
-    k = key[sa]
-    new = np.r_[True, k[1:] != k[:-1]]
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        key <<= 9
+        key |= np.where(room > j, padded[j : j + n], 0)
+    sa = np.argsort(key).astype(np.int32)
+    key = key[sa]
+    head = np.r_[True, key[1:] != key[:-1], True]
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(head[:-1], np.arange(n, dtype=np.int32), 0))
+    at = np.flatnonzero(~(head[:-1] & head[1:])).astype(np.int32)
     depth = 7
     longest = int(room.max(initial=0))
-    while depth < longest:
-        open_ = ~(new & np.r_[new[1:], True])
-        at = np.flatnonzero(open_)
-        if not len(at):
-            return sa
+    while depth < longest and len(at):
         pos = sa[at]
-        follow = pos + depth
-        second = np.where(depth < room[pos], rank[np.minimum(follow, n - 1)] + 1, 0)
-        pair = rank[pos] * (n + 1) + second
+        second = np.where(depth < room[pos], rank[np.minimum(pos + np.int32(depth), n - 1)] + 1, 0)
+        pair = rank[pos].astype(np.int64) << 32 | second
         order = np.argsort(pair)
         pos, pair = pos[order], pair[order]
         sa[at] = pos
-        head = np.r_[True, pair[1:] != pair[:-1]]
-        new[at] = head
-        rank[pos] = at[np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))]
+        head = np.r_[True, pair[1:] != pair[:-1], True]
+        rank[pos] = at[np.maximum.accumulate(np.where(head[:-1], np.arange(len(at)), 0))]
+        at = at[~(head[:-1] & head[1:])]
         depth *= 2
-    at = np.flatnonzero(~(new & np.r_[new[1:], True]))
     if len(at):
         pos = sa[at]
-        sa[at] = pos[np.lexsort((pos, rank[pos]))]
+        sa[at] = pos[np.argsort(rank[pos].astype(np.int64) << 32 | pos)]
     return sa
 
 
+#: The lowest bit of each byte of a 64-bit word.
+_BYTE = np.uint64(1) << (np.uint64(8) * np.arange(8, dtype=np.uint64))
+
+
 def _kasai(data: np.ndarray, sa: np.ndarray, start: np.ndarray, size: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """common[i]: bytes that the suffix at i shares with its predecessor in sa. Kasai's recursion, all texts in step."""
+    """common[i]: bytes, WINDOW at most, that the window at i shares with its predecessor in sa; 0 where no window starts.
+
+    Kasai's recursion, all texts in step and eight bytes at a time. A count cut at WINDOW still falls by one at most from
+    a window to the next, and windows that share WINDOW bytes have no shorter suffix between them.
+    """
     n = len(data)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    common = np.zeros(n, np.int64)
-    h = np.zeros(len(start), np.int64)
-    for t in range(int(size.max(initial=0))):
-        live = np.flatnonzero(size > t)
-        i = start[live] + t
+    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.r_[data, np.zeros(7, np.uint8)], 8)).view("<u8").ravel()
+    common = np.zeros(n, np.int32)
+    h = np.zeros(len(start), np.int32)
+    windows = np.maximum(size - WINDOW + 1, 0)
+    live = np.flatnonzero(windows)
+    for t in range(int(windows.max(initial=0))):
+        live = live[windows[live] > t]
+        i = (start[live] + t).astype(np.int32)
         j = before[i]
-        have = np.where(j >= 0, np.maximum(h[live] - 1, 0), 0)
-        stop = np.where(j >= 0, np.minimum(end[i] - i, end[np.maximum(j, 0)] - j), 0)
+        stop = np.where(j >= 0, np.minimum(end[np.maximum(j, 0)] - j, WINDOW), 0).astype(np.int32)
+        have = np.minimum(np.maximum(h[live] - 1, 0), stop)
         on = np.flatnonzero(have < stop)
         while len(on):
-            same = data[i[on] + have[on]] == data[j[on] + have[on]]
-            on = on[same]
-            have[on] += 1
-            on = on[have[on] < stop[on]]
+            differ = eight[i[on] + have[on]] ^ eight[j[on] + have[on]]
+            equal = np.searchsorted(_BYTE, differ & (~differ + np.uint64(1)), side="right") - 1
+            equal[differ == 0] = 8
+            have[on] = np.minimum(have[on] + equal, stop[on])
+            on = on[(equal == 8) & (have[on] < stop[on])]
         h[live] = have
         common[i] = have
     return common
@@ -107,12 +115,10 @@ def survivors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sa = _refine(data.astype(np.int16) + 1, end)
     common = _kasai(data, sa, start, size, end)
     window = end - np.arange(len(data)) >= WINDOW
-    group = np.cumsum(common[sa] < WINDOW)
-    pos, group = sa[window[sa]], group[window[sa]]
-    first = np.full(int(group.max(initial=0)) + 1, len(data))
-    np.minimum.at(first, group, pos)
+    pos = sa[window[sa]]
     alive = np.zeros(len(data), bool)
-    alive[first[first < len(data)]] = True
+    if len(pos):
+        alive[np.minimum.reduceat(pos, np.flatnonzero(common[pos] < WINDOW))] = True
     place = np.minimum(np.arange(len(data)) - start[text], 63).astype(np.uint64)  # windows lie below 64
     return start, alive, np.add.reduceat(alive.astype(np.uint64) << place, start)
 
