@@ -156,3 +156,53 @@ def performance(returns: DataFrame, value: str, order: str, per_year: float, *by
         (sdiv(F.col("mean"), F.col("sd")) * year).alias("sharpe"), (sdiv(F.col("mean"), F.col("down")) * year).alias("sortino"), "max_drawdown",
         sdiv(annual, -F.col("max_drawdown")).alias("calmar"), "win_rate",
     )
+
+
+def capped_weights(chosen: DataFrame, weight: str, cap: float, date: str = "date", name: str = "instrument") -> DataFrame:
+    """weight normalised by date, none above cap: the excess goes to the others in proportion, until none is above.
+
+    The capped names are the largest ones, so one sorted pass finds them: a name is capped if its share of what is left
+    after all larger ones are is still above cap. Null on dates with too few names for the cap; negatives count as 0.
+    """
+    w = Window.partitionBy(date).orderBy(F.desc("_w"), name)
+    rest = F.sum("_w").over(w.rowsBetween(0, Window.unboundedFollowing))
+    out = chosen.withColumn("_w", F.greatest(F.coalesce(F.col(weight), F.lit(0.0)), F.lit(0.0)))
+    out = out.withColumn("_rank", F.row_number().over(w)).withColumn("_rest", rest)
+    out = out.withColumn("_over", sdiv(F.col("_w") * (1 - (F.col("_rank") - 1) * cap), F.col("_rest")) > cap)
+    day = Window.partitionBy(date)
+    out = out.withColumn("_capped", F.sum(F.col("_over").cast("int")).over(day)).withColumn("_free", F.sum(F.when(~F.col("_over"), F.col("_w"))).over(day))
+    share = F.when(F.col("_over"), F.lit(cap)).otherwise(sdiv(F.col("_w") * (1 - F.col("_capped") * cap), F.col("_free")))
+    return out.withColumn(weight, F.when(F.count("*").over(day) * cap >= 1 - 1e-12, share)).drop("_w", "_rank", "_rest", "_over", "_capped", "_free")
+
+
+def relative_performance(returns: DataFrame, value: str, benchmark: str, per_year: float, *by: str) -> DataFrame:
+    """Against a benchmark, over rows that have both: tracking error, information ratio, beta and annual alpha."""
+    both = returns.where(F.col(value).isNotNull() & F.col(benchmark).isNotNull()).withColumn("_e", F.col(value) - F.col(benchmark))
+    s = both.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_e").alias("e"), F.stddev_samp("_e").alias("se"), F.avg(value).alias("m"), F.avg(benchmark).alias("mb"), sdiv(F.covar_samp(value, benchmark), F.var_samp(benchmark)).alias("beta"))
+    year = per_year**0.5
+    return s.select(*by, "n", (F.col("se") * year).alias("tracking_error"), (sdiv(F.col("e"), F.col("se")) * year).alias("information_ratio"), "beta", ((F.col("m") - F.col("beta") * F.col("mb")) * per_year).alias("alpha"))
+
+
+def payoff(returns: DataFrame, value: str, *by: str, tail: float = 0.05) -> DataFrame:
+    """Profit factor (infinite without a loss), mean gain over mean loss (0 without either) and the ratio of the tails."""
+    r = F.col(value)
+    gain, loss = F.when(r > 0, r), F.when(r < 0, -r)
+    s = returns.groupBy(*by).agg(F.sum(gain).alias("g"), F.sum(loss).alias("l"), F.avg(gain).alias("mg"), F.avg(loss).alias("ml"), F.percentile(r, F.lit(1 - tail)).alias("hi"), F.percentile(r, F.lit(tail)).alias("lo"))
+    factor = F.when(F.col("l") > 0, F.coalesce("g", F.lit(0.0)) / F.col("l")).when(F.col("g") > 0, F.lit(float("inf"))).otherwise(0.0)
+    return s.select(*by, factor.alias("profit_factor"), F.coalesce(sdiv(F.col("mg"), F.col("ml")), F.lit(0.0)).alias("profit_loss_ratio"), F.coalesce(sdiv(F.abs("hi"), F.abs("lo")), F.lit(0.0)).alias("tail_ratio"))
+
+
+def compounded(returns: DataFrame, value: str, order: str, unit: str, *by: str) -> DataFrame:
+    """Returns compounded by calendar unit (week, month, year): period (its first date), ret."""
+    return returns.groupBy(*by, F.to_date(F.date_trunc(unit, order)).alias("period")).agg((F.product(1 + F.coalesce(F.col(value), F.lit(0.0))) - 1).alias("ret"))
+
+
+def rolling_performance(returns: DataFrame, value: str, order: str, rows: int, per_year: float, *by: str) -> DataFrame:
+    """returns with rolling return, volatility and Sharpe; null until rows values are there."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(1 - rows, 0)
+    full = F.count(value).over(w) == rows
+    mean, sd = F.avg(value).over(w), F.stddev_samp(value).over(w)
+    return returns.select(
+        "*", F.when(full, F.product(1 + F.col(value)).over(w) - 1).alias("rolling_return"), F.when(full, sd * per_year**0.5).alias("rolling_volatility"),
+        F.when(full, sdiv(mean, sd) * per_year**0.5).alias("rolling_sharpe"),
+    )
