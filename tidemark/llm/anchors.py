@@ -40,25 +40,25 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         width *= 2
     if width < SPAN:
         best = np.minimum(best[: width - SPAN], best[SPAN - width :])
-    # the first window of each run, cut where texts end
-    room = np.zeros(len(best) + 1, np.int64)
+    head = np.empty(len(best), bool)
+    head[0] = True
+    np.not_equal(best[1:], best[:-1], out=head[1:])
     lengths = np.diff(offsets)
-    has = np.flatnonzero(lengths >= WINDOW)
-    np.add.at(room, offsets[has], 1)
-    np.add.at(room, offsets[has] + lengths[has] - WINDOW + 1, -1)
-    inside = np.cumsum(room[:-1]) > 0
-    place = np.arange(len(best), dtype=np.int64)
-    ahead = ((best - place.astype(np.uint64)) & mask).astype(np.int64)
-    part = ahead // PART
-    head = inside.copy()
-    head[1:] &= (best[1:] != best[:-1]) | (part[1:] != part[:-1]) | ~inside[:-1]
-    head[offsets[has]] = True
+    head[offsets[:-1][lengths >= WINDOW]] = True
+    # windows of one anchor that reach from the far part into the near one are two runs
     start = np.flatnonzero(head)
-    text = np.searchsorted(offsets, start, side="right") - 1
-    last = offsets[text] + lengths[text] - WINDOW + 1
-    count = np.minimum(np.r_[start[1:], len(best)], last) - start
-    anchor = start + ahead[start]
-    low = anchor - PART * part[start]
+    near = (best[start] & mask).astype(np.int64) - (PART - 1)
+    head[near[(start < near) & (near < np.r_[start[1:], len(best)])]] = True
+    # runs are cut where texts end
+    start = np.flatnonzero(head)
+    text = np.repeat(np.arange(len(lengths)), np.diff(np.searchsorted(start, offsets)))
+    last = (offsets[1:] - WINDOW + 1)[text]
+    keep = start < last
+    count = (np.minimum(np.r_[start[1:], len(best)], last) - start)[keep]
+    start, text = start[keep], text[keep]
+    anchor = (best[start] & mask).astype(np.int64)
+    part = (anchor - start) // PART
+    low = anchor - PART * part
     with np.errstate(over="ignore"):
-        long = mix64((prefix[low + LONG] - prefix[low]) * down[low] + part[start].astype(np.uint64))
+        long = mix64((prefix[low + LONG] - prefix[low]) * down[low] + part.astype(np.uint64))
     return text, start, count, long.view(np.int64), anchor, hashes[anchor].view(np.int64)
