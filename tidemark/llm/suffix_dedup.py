@@ -196,6 +196,9 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def solve(held: list[tuple], split: list[bool]) -> pa.RecordBatch:
         rows = []
+        # the parts of a hot hash that meet here hold equal windows, so texts must stand in order of place
+        order = sorted(range(len(held)), key=lambda i: held[i][:3])
+        held, split = [held[i] for i in order], [split[i] for i in order]
         start, alive, flags = survivors([x[3] for x in held])
         for (doc, th, at, raw), a, f, s in zip(held, start.tolist(), flags.tolist(), split, strict=True):
             if not s:
