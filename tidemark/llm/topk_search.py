@@ -32,7 +32,7 @@ def quantized(vector: Column, scale: int = 256) -> Column:
 def _block(frame: pd.DataFrame) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
     """Row ids in order, and for each term the rows that hold it with their weights."""
     frame = frame.sort_values("id", kind="stable")
-    lengths = frame["weights"].map(len).to_numpy()
+    lengths = frame["weights"].map(len).to_numpy(np.int64)
     row = np.repeat(np.arange(len(frame)), lengths)
     term = np.concatenate(frame["terms"].to_list()) if len(frame) else np.zeros(0, np.int64)
     weight = np.concatenate(frame["weights"].to_list()) if len(frame) else np.zeros(0, np.int64)
