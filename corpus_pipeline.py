@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, near_dedup, quality, secret_scan, source_mix
-from tidemark.llm.common import materialize, table
+from tidemark.llm.common import materialize, shielded, table
 
 #: A list of ids up to this size is broadcast; a longer one is joined by shuffle.
 BROADCAST_BYTES = 16 << 20
@@ -18,7 +18,7 @@ BROADCAST_BYTES = 16 << 20
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at its cut or above; nulls and empty texts are scored like others."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).where(F.col("_score") >= quality.CUT).drop("_score")
+    return shielded(docs, ["doc_id", "text"], lambda d: quality.scored(d, model).where(F.col("_score") >= quality.CUT).drop("_score"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,15 +28,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     gone = materialize(near_dedup.deduplicated(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     small = gone.count() * 16 <= BROADCAST_BYTES
-    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return shielded(docs, ["doc_id"], lambda d: d.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("_gone"), "left_anti"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark and n_chars counted anew where a text changed."""
     model = secret_scan.train(secret_scan.training_samples(docs))
-    out = secret_scan.redact(docs.withColumn("_before", F.col("text")), model)
-    n_chars = F.when(F.col("text").eqNullSafe(F.col("_before")), F.col("n_chars")).otherwise(F.length("text").cast("long"))
-    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+
+    def step(d: DataFrame) -> DataFrame:
+        out = secret_scan.redact(d.withColumn("_before", F.col("text")), model)
+        n_chars = F.when(F.col("text").eqNullSafe(F.col("_before")), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+        return out.withColumn("n_chars", n_chars).select(*d.columns)
+
+    return shielded(docs, ["text", "n_chars"], step)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

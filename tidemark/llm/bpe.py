@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_view, extended, pieces, table
+from tidemark.llm.common import byte_view, extended, pieces, shielded, table
 
 #: Words in a worker's cache at most, and those that stay, the first met, when it is full or a partition ends.
 CACHE_WORDS, CACHE_KEPT = 300_000, 60_000
@@ -134,7 +134,10 @@ def default_vocabulary() -> str:
 
 
 def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """docs with a column of token ids (array of int). A null or empty text has no tokens. Other columns stay as they are."""
+    """docs with a column of token ids (array of int). A null or empty text has no tokens.
+
+    Other columns stay as they are; one that is named like the result gives way to it.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
         for batch in batches:
@@ -147,13 +150,11 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: str =
                 yield pa.RecordBatch.from_arrays([*part.columns, flat], [*batch.schema.names, out])
         bpe.trim()
 
-    if out in docs.columns:
-        raise ValueError(f"docs already has a column {out}")
-    return docs.mapInArrow(run, extended(docs.schema, f"{out} array<int>"))
+    return shielded(docs, [text_col], lambda d: d.mapInArrow(run, extended(d.schema, f"{out} array<int>")))
 
 
 def decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """docs with the text that the ids decode to; null ids give an empty text."""
+    """docs with the text that the ids decode to; null ids give an empty text. A column named like the result gives way."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
         for batch in batches:
@@ -161,9 +162,7 @@ def decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "d
             text = pa.array([bpe.decode(x or []) for x in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, out])
 
-    if out in docs.columns:
-        raise ValueError(f"docs already has a column {out}")
-    return docs.mapInArrow(run, extended(docs.schema, f"{out} string"))
+    return shielded(docs, [ids_col], lambda d: d.mapInArrow(run, extended(d.schema, f"{out} string")))
 
 
 def digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: ASCII white space that separates words everywhere in this subpackage: blank and \x09 to \x0D.
@@ -48,6 +49,21 @@ def extended(schema: T.StructType, more: str) -> T.StructType:
     return T.StructType([*schema.fields, *T.StructType.fromDDL(more).fields])
 
 
+def shielded(docs: DataFrame, used: list[str], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """step(docs), with the columns that it doesn't use under other names meanwhile, so that none clashes with its own.
+
+    A column of docs that is named like one that step adds gives way to it.
+    """
+    other = {c: f"_other{i}" for i, c in enumerate(docs.columns) if c not in used}
+    if not other:
+        return step(docs)
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    out = step(docs.select(*[quoted(c).alias(other.get(c, c)) for c in docs.columns]))
+    back = {n: c for c, n in other.items()}
+    added = {c.lower() for c in out.columns if c not in back}
+    return out.select(*[quoted(c).alias(back.get(c, c)) for c in out.columns if back.get(c, "").lower() not in added])
+
+
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions of the session, for repartition by a key."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import _LOWER, byte_view, extended, materialize, pieces, prefix_hash, substring_hash, table, word_hashes
+from tidemark.llm.common import _LOWER, byte_view, extended, materialize, pieces, prefix_hash, shielded, substring_hash, table, word_hashes
 
 #: Labelled rows that are learnt from, at most: those whose id hashes lowest.
 MOST_LABELLED = 40_000
@@ -192,7 +192,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Qualit
 
 
 def scored(docs: DataFrame, model: Quality) -> DataFrame:
-    """docs with _score, as double. Every column but the text is passed on unread; a null or empty text has a score too."""
+    """docs with _score, as double. Every column but the text is passed on unread; a null or empty text has a score too.
+
+    An empty table gives no rows. A column of docs named _score gives way.
+    """
+    return shielded(docs, ["text"], lambda d: _scored(d, model))
+
+
+def _scored(docs: DataFrame, model: Quality) -> DataFrame:
     keep = docs.columns
     at = keep.index("text")
 

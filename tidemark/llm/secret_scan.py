@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import shielded, table
 
 #: The kinds in order, their patterns, the group whose length counts and that length's minimum.
 #: The runs of access and hex are maximal, so matching only long ones finds the same.
@@ -129,8 +129,13 @@ def scan(docs: DataFrame, model: list[float], text_col: str = "text", ratio: flo
     """docs with _base and _spans: arrays of (start, end, kind), ordered by start, then kind as listed.
 
     _base has what the rules find, _spans also the runs that the models hold random and that touch no base span (kind
-    "markov"). A null text is empty and has no spans. One map over the scan: no shuffle, no Python.
+    "markov"). A null text is empty and has no spans. One map over the scan: no shuffle, no Python. Columns of docs named
+    _base or _spans give way, others stay as they are.
     """
+    return shielded(docs, [text_col], lambda d: _scanned(d, model, text_col, ratio, ratio_each))
+
+
+def _scanned(docs: DataFrame, model: list[float], text_col: str, ratio: float, ratio_each: float) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     ordinal = {kind: i for i, kind in enumerate([r[0] for r in RULES] + ["markov"])}
     found = docs.withColumn("_kinds", F.struct(*[c.alias(k) for k, c in base_spans(text).items()]))
@@ -146,7 +151,14 @@ def scan(docs: DataFrame, model: list[float], text_col: str = "text", ratio: flo
 
 
 def redact(docs: DataFrame, model: list[float], text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of scan() replaced by `mark`; overlapping spans are replaced once. A null text stays null."""
+    """docs with every span of scan() replaced by `mark`; overlapping spans are replaced once. A null text stays null.
+
+    Other columns, whatever their names, stay as they are.
+    """
+    return shielded(docs, [text_col], lambda d: _redacted(d, model, text_col, mark))
+
+
+def _redacted(docs: DataFrame, model: list[float], text_col: str, mark: str) -> DataFrame:
     found = scan(docs, model, text_col)
     t = F.col(text_col)
     # outermost ends so far, to cut what overlaps

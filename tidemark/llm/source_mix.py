@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, table
+from tidemark.llm.common import materialize, shielded, table
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -75,10 +75,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """docs with each row as often as the mix takes it; columns as before.
 
     Null texts have size 0, null sources are one source, a null id is drawn as the text "null"; rows that repeat an
-    id draw alike. Other columns, whatever their names, go along unless they are _size, _target or _mix.
+    id draw alike. Other columns, whatever their names, go along.
     """
-    mixed = with_copies(docs, id_col, text_col, source_col, weights, most)
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix.copies").cast("int")))).select(*docs.columns)
+    def step(d: DataFrame) -> DataFrame:
+        mixed = with_copies(d, id_col, text_col, source_col, weights, most)
+        return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix.copies").cast("int")))).select(*d.columns)
+
+    return shielded(docs, [id_col, text_col, source_col], step)
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
