@@ -201,3 +201,24 @@ def test_quality_separates_classes(spark):
     got = {r.doc_id: r._score for r in quality.scored(frame(spark, rows), model).collect()}
     assert sum((got[i] >= 0.7) == bool(i % 3) for i in range(400)) >= 390
     assert all(0 <= s <= 1 for s in got.values())
+
+
+def removed_by_brute_force(rows):
+    seen, want = set(), {}
+    for i, t in rows:
+        b = t.encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(b[p : p + 100])
+        want[i] = (sum(gone), bytes(x for x, g in zip(b, gone) if not g))
+    return want
+
+
+def test_suffix_dedup_of_anchors_that_fill_many_shards(spark):
+    rng = random.Random(8)
+    units = ["xyz0123", "alpha beta gamma delta ", "".join(rng.choice("abcd") for _ in range(130))]
+    rows = [(i, f"{rng.random()}" * rng.randint(0, 3) + units[i % 3] * (20_000 // (i + 1)) + units[(i + 1) % 3][: rng.randint(0, 130)] * rng.randint(1, 200)) for i in range(12)]
+    got = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in suffix_dedup.without_repeats(frame(spark, rows)).collect()}
+    assert got == removed_by_brute_force(rows)
