@@ -1,0 +1,27 @@
+"""Parts of the whole job that the operators once left out."""
+
+import random
+
+from tidemark.llm import paragraph_dedup
+
+
+def test_repeated_passages(spark):
+    """A passage of 60 words is found inside longer lines, wrapped over short lines, and with other neighbours."""
+    rng = random.Random(7)
+    some = lambda n: [f"u{rng.randrange(10**8)}" for _ in range(n)]
+    passage, short = some(60), some(40)
+    wrapped = "\n".join(" ".join(passage[i : i + 12]) for i in range(0, 60, 12))
+    head, tail, other = " ".join(some(100)), " ".join(some(100)), " ".join(some(70))
+    rows = [
+        (1, f"{head} {' '.join(passage)} {tail}"),
+        (2, f"{other} {' '.join(passage).upper()} {tail[:200]}"),
+        (3, f"a title\n{wrapped}\nan end"),
+        (4, " ".join(some(90) + short)), (5, " ".join(some(90) + short)),
+        (6, None), (7, " ".join(["one", "two", "three"] * 100)),
+    ]
+    got = {r.doc_id: r for r in paragraph_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    assert all(got[i].kept_text == texts[i] and got[i].n_cut == 0 for i in (1, 4, 5, 6, 7))
+    # the repeat in 2 reaches on into the tail, but for a word that is cut short there
+    assert got[2].kept_text == f"{other} {tail[:200].split(' ')[-1]}" and got[2].first_docs == [1] and got[2].n_removed == 0
+    assert got[3].kept_text == "a title\nan end" and got[3].removed == [1, 2, 3, 4, 5] and got[3].n_cut == 0
