@@ -128,13 +128,25 @@ def log_ratio(run: Column, model: list[float]) -> Column:
 def scan(docs: DataFrame, model: list[float], text_col: str = "text", ratio: float = RATIO, ratio_each: float = RATIO_EACH) -> DataFrame:
     """docs with _base and _spans: arrays of (start, end, kind), ordered by start, then kind as listed.
 
-    _base has what the rules find, _spans also the runs that the models hold random and that touch no base span (kind
-    "markov"). A null text is empty and has no spans. One map over the scan: no shuffle, no Python. Columns of docs named
+    _base has what the rules find, _spans also the runs that the models hold random (kind "markov"). Base spans are cut
+    out of the runs first; what is left of one, before, between or behind them, is a run of its own. A null text is empty and has no spans. One map over the scan: no shuffle, no Python. Columns of docs named
     _base or _spans give way, others stay as they are.
     """
     return shielded(docs, [text_col], lambda d: _scanned(d, model, text_col, ratio, ratio_each))
 
 
+def _masked(text: Column, cut: Column) -> Column:
+    """text with blanks in place of the spans, which are ordered by start and may overlap; places stay the same."""
+    state = F.aggregate(
+        cut, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)))).alias("out"),
+        ),
+    )
+    return F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
+
+
 def _scanned(docs: DataFrame, model: list[float], text_col: str, ratio: float, ratio_each: float) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     ordinal = {kind: i for i, kind in enumerate([r[0] for r in RULES] + ["markov"])}
@@ -144,9 +156,10 @@ def _scanned(docs: DataFrame, model: list[float], text_col: str, ratio: float, r
     found = found.withColumn("_base", F.concat("_kinds.assign", "_kinds.access", "_kinds.hex"))
     found = found.withColumn("_base", F.when(F.size("_base") > 1, sort(F.col("_base"))).otherwise(F.col("_base"))).drop("_kinds")
     random = lambda m: (log_ratio(m, model) >= ratio) & (log_ratio(m, model) >= ratio_each * F.length(m))
-    found = found.withColumn("_random", F.filter(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), random))
-    more = F.filter(spans(text, "markov", CANDIDATE, random), lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    found = found.withColumn("_more", F.when(F.size("_random") > 0, more).otherwise(_none())).drop("_random")
+    found = found.withColumn("_masked", F.when(F.size("_base") > 0, _masked(text, F.col("_base"))).otherwise(text))
+    found = found.withColumn("_random", F.filter(F.regexp_extract_all("_masked", F.lit(CANDIDATE), F.lit(0)), random))
+    more = spans(F.col("_masked"), "markov", CANDIDATE, random)
+    found = found.withColumn("_more", F.when(F.size("_random") > 0, more).otherwise(_none())).drop("_random", "_masked")
     return found.withColumn("_spans", F.when(F.size("_more") > 0, sort(F.concat("_base", "_more"))).otherwise(F.col("_base"))).drop("_more")
 
 
