@@ -24,11 +24,26 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of smallest id, of each group linked by a similarity of 0.8 or more.
 
-    Rows that repeat an id stay or go together; documents without words stay.
+    Rows that repeat both id and text are one document and stay or go together; another text of the same id is another
+    document. Each row without an id is a document, the last to be kept. Documents without words stay.
     """
-    gone = materialize(near_dedup.deduplicated(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    small = gone.count() * 16 <= BROADCAST_BYTES
-    return shielded(docs, ["doc_id"], lambda d: d.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("_gone"), "left_anti"))
+    def step(d: DataFrame) -> DataFrame:
+        d = d.withColumn("_th", F.xxhash64("text"))
+        found = materialize(near_dedup.near_duplicates(d.select("doc_id", "_th", "text"), ["doc_id", "_th"]).where("_class IS NOT NULL"), "near")
+        key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")
+        first = found.groupBy("_class").agg(F.min(key).alias("first"))
+        gone = found.join(first, "_class").where(~key.eqNullSafe(F.col("first")))
+        gone = materialize(gone.select(F.col("doc_id").alias("_gone"), F.col("_th").alias("_gone_th")).distinct(), "gone")
+        small = gone.count() * 24 <= BROADCAST_BYTES
+        same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_th") == F.col("_gone_th"))
+        d = d.join(F.broadcast(gone) if small else gone, same, "left_anti").drop("_th")
+        if docs.where("doc_id IS NULL").isEmpty():
+            return d
+        # equal texts without an id share a key: of those that are left, one stays
+        single = F.col("doc_id").isNull() & (source_mix.word_count(F.col("text")) > 0)
+        return d.where(~single).unionByName(d.where(single).dropDuplicates(["text"]))
+
+    return shielded(docs, ["doc_id", "text"], step)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+import corpus_pipeline
+
 from tidemark.llm import paragraph_dedup, secret_scan
 
 
@@ -40,3 +42,19 @@ def test_secrets_joined_to_base_spans(spark):
     for r in secret_scan.scan(docs, model).collect():
         parts = [s for s in r._spans if s.kind == "markov"]
         assert len(parts) == (2 <= r.doc_id <= 5) and all(secret in r.text[s.start : s.end] for s in parts)
+
+
+def test_near_duplicates_by_row(spark):
+    """An id that repeats with another text, and rows without an id, are told apart."""
+    rng = random.Random(9)
+    some = lambda: " ".join(f"x{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c, d = some(), some(), some(), some()
+    near = d.rsplit(" ", 1)[0] + " changed"
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, c), (None, a), (None, None), (None, ""), (None, ""), (None, d), (None, near), (4, b), (5, None)]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, _th string")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    last = d if (None, d) in got else near
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    assert sorted(got, key=order) == sorted([(1, a), (2, b), (None, c), (None, None), (None, ""), (None, ""), (None, last), (5, None)], key=order)
