@@ -3,8 +3,9 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 
-from tidemark.llm import paragraph_dedup, secret_scan
+from tidemark.llm import anchors, paragraph_dedup, secret_scan
 
 
 def test_repeated_passages(spark):
@@ -58,3 +59,17 @@ def test_near_duplicates_by_row(spark):
     last = d if (None, d) in got else near
     order = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
     assert sorted(got, key=order) == sorted([(1, a), (2, b), (None, c), (None, None), (None, ""), (None, ""), (None, last), (5, None)], key=order)
+
+
+def test_anchors_of_long_texts(monkeypatch):
+    """Places beyond the bits that hold them: the same windows have the same anchors."""
+    rng = np.random.default_rng(4)
+    sizes = np.array([0, 5000, 0, 130, 20, 2500, 0])
+    data, offsets = rng.integers(97, 103, sizes.sum()).astype(np.uint8), np.r_[0, np.cumsum(sizes)]
+
+    def windows():
+        return sorted((int(t), int(s) + k, int(g), int(a), int(h)) for t, s, c, g, a, h in zip(*anchors.runs(data, offsets), strict=True) for k in range(int(c)))
+
+    want = windows()
+    monkeypatch.setattr(anchors, "_PLACE", 10)
+    assert windows() == want and len(want) == sum(max(0, n - 99) for n in sizes.tolist())

@@ -24,6 +24,21 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     of a window depend on its bytes only, so equal windows have equal hashes and lie alike in their runs. The long hash
     is that of the LONG bytes that all windows of the anchor and part hold, and so seldom repeats by chance.
     """
+    limit = 1 << _PLACE
+    if len(data) <= limit:
+        return _runs(data, offsets)
+    # places must fit their bits: blocks that overlap by all but one byte of a window
+    found = []
+    for a in range(0, len(data) - WINDOW + 1, limit - WINDOW + 1):
+        b = min(a + limit, len(data))
+        first, last = np.searchsorted(offsets, a, side="right") - 1, np.searchsorted(offsets, b, side="left")
+        text, start, count, long, anchor, h = _runs(data[a:b], np.clip(offsets[first : last + 1], a, b) - a)
+        found.append((text + first, start + a, count, long, anchor + a, h))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """runs() of at most 1 << _PLACE bytes."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < WINDOW:
