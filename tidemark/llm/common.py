@@ -36,12 +36,32 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _files(spark: SparkSession, path: str):
+    """The path and its file system, as the driver's JVM has them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends in files that outlive any executor."""
+    """Write df to the shared folder and read it back: lineage ends in files that outlive any executor.
+
+    The files go when release() is called, or else when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at, files = _files(spark, path)
+    files.deleteOnExit(at)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes what materialize() wrote for these tables; nothing may read them, or what is derived from them, any more."""
+    for df in tables:
+        at, files = _files(df.sparkSession, df._written)
+        files.delete(at, True)
 
 
 def extended(schema: T.StructType, more: str) -> T.StructType:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_view, extended, groups, materialize, mix64, partitions, pieces, table, word_hashes
+from tidemark.llm.common import byte_view, extended, groups, materialize, mix64, partitions, pieces, release, table, word_hashes
 from tidemark.llm.graph import components
 
 SHINGLE_WORDS = 5
@@ -31,7 +31,7 @@ PERCENT = 80
 #: The chance that a pair just at the threshold shares no band.
 MISS = 1e-5
 #: Bytes of text handled at once, classes and shingles of a block, members confirmed by a task against one centre.
-PIECE, BLOCK, BLOCK_HASHES, MEMBERS = 1 << 20, 256, 1_000_000, 512
+PIECE, BLOCK, BLOCK_HASHES, MEMBERS = 1 << 20, 512, 1_000_000, 512
 #: Standard deviations below the threshold at which a signature rules a pair out (about one in a billion).
 SLACK = 6.0
 
@@ -149,9 +149,14 @@ def signatures(units: DataFrame, ids: list[str], text_col: str, shape: tuple[int
 
 
 def full_sets(units: DataFrame, ids: list[str], text_col: str, rows: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """cid and set (sorted hashes as bytes) of the units that `rows` (row, cid) names."""
+    """cid and set (sorted hashes as bytes) of the units that `rows` (row, cid) names, once from each task that has it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            cids = batch.column(0).to_pylist()
+            new = [i for i, c in enumerate(cids) if not (c in seen or seen.add(c))]
+            if len(new) < len(cids):
+                batch = batch.take(pa.array(new, pa.int64()))
             data, offsets = byte_view(batch.column(1))
             for lo, hi in pieces(offsets, PIECE):
                 sets = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
@@ -256,14 +261,24 @@ def residual_links(shared: DataFrame, classes: DataFrame, sets: DataFrame, parts
     """Links (u, v) between components that share a bucket, at most one fewer than a block's members for each block.
 
     shared: bk, cid, n; classes: cid, n, bands; sets: cid, set; parts: node, component.
+    Blocks end where components do: one that fills half a block or more has blocks to itself, the others of a bucket share
+    some. Only blocks of different components meet, so a giant component and its strays cost the giant's rows and the
+    strays' times its blocks, never all pairs of the giant's blocks.
     """
-    placed = shared.join(parts, F.col("cid") == F.col("node"), "left").select("bk", "cid", "n", F.coalesce("component", "cid").alias("comp"))
-    several = placed.groupBy("bk").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size"), F.sum("n").alias("load")).where("a <> b")
-    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("load") / BLOCK_HASHES)).cast("int")
-    rows = placed.drop("n").join(several.select("bk", blocks.alias("blocks")), "bk").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bk", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "cid", "comp").join(classes, "cid").join(sets, "cid")
-    rows = rows.select("bk", "bi", "bj", "own", "cid", "comp", "n", "bands", "set")
+    placed = materialize(shared.join(parts, F.col("cid") == F.col("node"), "left").select("bk", "cid", "n", F.coalesce("component", "cid").alias("comp")), "placed")
+    held = placed.groupBy("bk", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("load"))
+    several = held.groupBy("bk").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("bk")
+    fills = F.greatest(F.col("size") / BLOCK, F.col("load") / BLOCK_HASHES)
+    held = materialize(held.join(several, "bk").withColumn("own", F.when(fills > 0.5, F.col("comp")).otherwise(F.lit(-1))), "held")
+    kinds = materialize(held.groupBy("bk", "own").agg(F.sum("size").alias("size"), F.sum("load").alias("load")).select("bk", "own", F.ceil(fills).cast("int").alias("blocks")), "kinds")
+    blocks = kinds.select("bk", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part")).select("bk", "own", F.xxhash64("own", "part").alias("b"))
+    meet = blocks.select("bk", F.col("own").alias("oi"), F.col("b").alias("bi")).join(blocks.select("bk", F.col("own").alias("oj"), F.col("b").alias("bj")), "bk")
+    meet = materialize(meet.where("bi <= bj AND (oi <> oj OR oi = -1)").select("bk", "bi", "bj"), "meet")
+    rows = placed.drop("n").join(held.select("bk", "comp", "own"), ["bk", "comp"]).join(kinds, ["bk", "own"])
+    rows = rows.select("bk", "cid", "comp", F.xxhash64("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).alias("b"))
+    sides = meet.select("bk", "bi", "bj", F.col("bi").alias("b")).union(meet.where("bi <> bj").select("bk", "bi", "bj", F.col("bj").alias("b")))
+    rows = rows.join(sides, ["bk", "b"]).join(classes, "cid").join(sets, "cid")
+    rows = rows.select("bk", "bi", "bj", F.col("b").alias("own"), "cid", "comp", "n", "bands", "set")
     dealt = rows.repartition(partitions(rows), "bk", "bi", "bj").sortWithinPartitions("bk", "bi", "bj")
     return dealt.mapInArrow(_across(percent, *shape), "u long, v long")
 
@@ -290,6 +305,7 @@ def near_duplicates(units: DataFrame, ids: list[str], text_col: str = "text", pe
     links = materialize(confirmed(star, sets, percent), "links")
     parts = materialize(components(links), "parts")
     more = materialize(residual_links(shared.select("bk", "cid", "n"), classes.select("cid", "n", "bands"), sets, parts, percent, shape), "more")
+    release(shared, sets)
     if not more.isEmpty():
         parts = materialize(components(links.union(more)), "parts")
     placed = classes.select("fp", "cid").join(parts, F.col("cid") == F.col("node"), "left").select("fp", F.coalesce("component", "cid").alias("_class"))
@@ -302,7 +318,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null id takes part but never names a component unless it is alone (component_id is then null, and it is kept).
     """
     found = materialize(near_duplicates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"], "text", percent), "near")
-    least = found.where("_class IS NOT NULL").groupBy("_class").agg(F.min("doc_id").alias("least"))
+    # written first, so that adaptive execution may split a class of many documents in the join
+    least = materialize(found.where("_class IS NOT NULL").groupBy("_class").agg(F.min("doc_id").alias("least")), "least")
     joined = found.join(least, "_class", "left")
     component = F.when(F.col("_class").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return joined.select("doc_id", F.col("_n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
