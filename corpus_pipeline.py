@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, near_dedup, quality, secret_scan, source_mix
-from tidemark.llm.common import materialize, shielded, table
+from tidemark.llm.common import materialize, release, shielded, table
 
 #: A list of ids up to this size is broadcast; a longer one is joined by shuffle.
 BROADCAST_BYTES = 16 << 20
@@ -31,7 +31,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         d = d.withColumn("_th", F.xxhash64("text"))
         found = materialize(near_dedup.near_duplicates(d.select("doc_id", "_th", "text"), ["doc_id", "_th"]).where("_class IS NOT NULL"), "near")
         key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")
-        first = found.groupBy("_class").agg(F.min(key).alias("first"))
+        # written first, so that adaptive execution may split a class of many documents in the join
+        first = materialize(found.groupBy("_class").agg(F.min(key).alias("first")), "first")
         gone = found.join(first, "_class").where(~key.eqNullSafe(F.col("first")))
         gone = materialize(gone.select(F.col("doc_id").alias("_gone"), F.col("_th").alias("_gone_th")).distinct(), "gone")
         small = gone.count() * 24 <= BROADCAST_BYTES
@@ -84,5 +85,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if name != STAGES[0][0]:
+            release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
