@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import materialize, release
 
 #: Rounds are few (the logarithm of the longest chain, squared at worst); more mean an error.
 MAX_ROUNDS = 60
@@ -40,8 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
         # a forest of stars: no node is both a centre and a member, and each member has one centre
         if sign is not None and now.select("u").count() == now.select("u").distinct().count() and now.select("u").intersect(now.select("v")).isEmpty():
             break
-        sign = mark
-        now = materialize(_small_star(_large_star(now)), "stars")
+        sign, before = mark, now
+        now = materialize(_small_star(_large_star(before)), "stars")
+        release(before)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

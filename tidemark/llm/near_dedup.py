@@ -13,12 +13,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +30,8 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 #: The chance that a pair just at the threshold shares no band.
 MISS = 1e-5
-#: Bytes of text handled at once, classes and shingles of a block, members confirmed by a task against one centre.
-PIECE, BLOCK, BLOCK_HASHES, MEMBERS = 1 << 20, 512, 1_000_000, 512
+#: Bytes and number of texts handled at once, classes and shingles of a block, members confirmed by a task against one centre.
+PIECE, TEXTS, BLOCK, BLOCK_HASHES, MEMBERS = 1 << 20, 2048, 512, 1_000_000, 512
 #: Standard deviations below the threshold at which a signature rules a pair out (about one in a billion).
 SLACK = 6.0
 
@@ -43,35 +43,58 @@ def bands_for(percent: int, miss: float = MISS) -> tuple[int, int]:
     return math.ceil(math.log(miss) / math.log(1 - s**rows)), rows
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE_WORDS) -> list[np.ndarray]:
-    """For each text the sorted distinct 64-bit hashes of its word shingles; a shorter text is one shingle, an empty one has none."""
+def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hash, text) of all word shingles, repeats included, in order of the texts, and the words of each text.
+
+    A text of fewer words is one shingle, one without words has none.
+    """
     _, _, doc, h = word_hashes(data, offsets)
     n = len(offsets) - 1
-    first = np.searchsorted(doc, np.arange(n + 1))
-    counts = np.diff(first)
+    counts = np.bincount(doc, minlength=n)
+    first = np.cumsum(counts) - counts
     keys = mix64(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
-    if len(h) >= size:
-        with np.errstate(over="ignore"):
-            s = np.zeros(len(h) - size + 1, np.uint64)
-            for k in range(size):
-                s += h[k : k + len(s)] * keys[k]
-        s = mix64(s + np.uint64(size))
-    else:
-        s = np.zeros(0, np.uint64)
+    keep = np.arange(len(h)) - first[doc] < np.maximum(counts - size + 1, 1)[doc]
+    at = np.flatnonzero(keep)
+    room = np.minimum(counts[doc[at]], size)
+    s = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            has = room > k
+            if has.all():
+                s += h[at + k] * keys[k]
+            else:
+                s[has] += h[at[has] + k] * keys[k]
+        s = mix64(s + room.astype(np.uint64))
+    return s, doc[at], counts
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE_WORDS) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word shingles."""
+    s, doc, _ = shingles(data, offsets, size)
+    edges = np.searchsorted(doc, np.arange(len(offsets)))
     out = []
-    for i in range(n):
-        a, c = first[i], counts[i]
-        if c >= size:
-            x = np.sort(s[a : a + c - size + 1])
-            out.append(x[np.r_[True, x[1:] != x[:-1]]] if len(x) > 1 else x)
-        elif c:
-            with np.errstate(over="ignore"):
-                out.append(mix64(np.array([np.sum(h[a : a + c] * keys[:c], dtype=np.uint64) + np.uint64(c)], np.uint64)))
-        else:
-            out.append(np.zeros(0, np.uint64))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        x = np.sort(s[a:b])
+        out.append(x[np.r_[True, x[1:] != x[:-1]]] if len(x) > 1 else x)
     return out
 
 
+def distinct_sums(s: np.ndarray, doc: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct hashes of each text, [count, 2] a 128-bit sum over them that doesn't depend on their order)."""
+    with np.errstate(over="ignore"):
+        order = np.argsort(mix64(s + mix64(doc.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))))
+        fresh = np.ones(len(s), bool)
+        a, b = order[1:], order[:-1]
+        fresh[a[(s[a] == s[b]) & (doc[a] == doc[b])]] = False
+        s, doc = s[fresh], doc[fresh]
+        edges = np.searchsorted(doc, np.arange(count + 1))
+        sums = []
+        for key in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9):
+            total = np.r_[np.uint64(0), np.cumsum(mix64(s * np.uint64(key) + np.uint64(key >> 7)), dtype=np.uint64)]
+            sums.append(total[edges[1:]] - total[edges[:-1]])
+    return np.diff(edges), np.stack(sums, axis=1)
+
+
 class Signer:
     """Signatures of one-permutation hashing over a number of bins."""
 
@@ -87,31 +110,36 @@ class Signer:
             draw = mix64(np.arange(self.bins, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + mix64(tries + np.uint64(77))[None, :])
         self.donors = np.hstack([self.donors, ((draw >> np.uint64(32)) % np.uint64(self.bins)).astype(np.int64)])
 
-    def sign(self, hashes: np.ndarray) -> np.ndarray:
-        """16 bits for each bin. hashes: sorted, not empty; a bin's smallest hash is its first."""
+    def sign(self, hashes: np.ndarray, doc: np.ndarray, count: int) -> np.ndarray:
+        """[count, bins]: 16 bits for each bin of each text, those of the smallest hash; 0 in texts without hashes.
+
+        hashes and doc: the hashes of all texts and the text of each, in any order.
+        """
         at = ((hashes >> np.uint64(32)) * np.uint64(self.bins) >> np.uint64(32)).astype(np.int64)
-        heads = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        out = np.zeros(self.bins, np.uint16)
-        full = np.zeros(self.bins, bool)
-        out[at[heads]] = (hashes[heads] & np.uint64(65535)).astype(np.uint16)
-        full[at[heads]] = True
-        empty = np.flatnonzero(~full)
+        least = np.full(count * self.bins, ~np.uint64(0), np.uint64)
+        np.minimum.at(least, doc * self.bins + at, hashes)
+        full = np.zeros((count, self.bins), bool)
+        full[doc, at] = True
+        out = (least & np.uint64(65535)).astype(np.uint16).reshape(count, self.bins)
+        some = full.any(axis=1)
+        out[~some] = 0
+        row, empty = np.nonzero(~full & some[:, None])
         done = 0
-        while len(empty):
-            hit = full[self.donors[empty, done : done + 64]]
-            good = hit.any(axis=1)
-            out[empty[good]] = out[self.donors[empty[good], done + hit[good].argmax(axis=1)]]
-            empty, done = empty[~good], done + 64
-            if len(empty) and done == self.donors.shape[1]:
+        while len(row):
+            if done == self.donors.shape[1]:
                 self.grow()
+            donor = self.donors[empty, done]
+            hit = full[row, donor]
+            out[row[hit], empty[hit]] = out[row[hit], donor[hit]]
+            row, empty, done = row[~hit], empty[~hit], done + 1
         return out
 
 
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A long for each band: its number, then 48 bits, the same number of each of its bins."""
+    """[texts, bands] of longs: the band's number, then 48 bits, the same number of each of its bins."""
     bits = 48 // rows
-    low = signature.reshape(bands, rows).astype(np.int64) & ((1 << bits) - 1)
-    return (low << (bits * np.arange(rows))).sum(axis=1) | (np.arange(bands, dtype=np.int64) << 48)
+    low = signature.reshape(len(signature), bands, rows).astype(np.int64) & ((1 << bits) - 1)
+    return (low << (bits * np.arange(rows))).sum(axis=2) | (np.arange(bands, dtype=np.int64) << 48)
 
 
 def band_bins(keys: np.ndarray, rows: int) -> np.ndarray:
@@ -121,27 +149,28 @@ def band_bins(keys: np.ndarray, rows: int) -> np.ndarray:
     return out.reshape(*keys.shape[:-1], -1).astype(np.uint16)
 
 
-def fingerprint(hashes: np.ndarray) -> bytes:
-    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
-
-
-def signatures(units: DataFrame, ids: list[str], text_col: str, shape: tuple[int, int], size: int = SHINGLE_WORDS) -> DataFrame:
-    """ids..., _n, _fp, _bands, _row of every unit. No shingles: _n 0 and the rest null."""
+def signatures(units: DataFrame, ids: list[str], text_col: str, shape: tuple[int, int], size: int = SHINGLE_WORDS, min_words: int = 0) -> DataFrame:
+    """ids..., _n, _fp, _bands, _row of every unit of at least min_words words. No shingles: _n 0 and the rest null."""
     bands, rows = shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands * rows)
         for batch in batches:
             data, offsets = byte_view(batch.column(len(ids) + 1))
-            for lo, hi in pieces(offsets, PIECE):
-                sets = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
-                keep = [len(x) > 0 for x in sets]
-                yield pa.RecordBatch.from_arrays([
-                    *[batch.column(i).slice(lo, hi - lo) for i in range(len(ids) + 1)],
-                    pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([fingerprint(x) if k else None for x, k in zip(sets, keep, strict=True)], pa.binary()),
-                    pa.array([band_keys(signer.sign(x), bands, rows) if k else None for x, k in zip(sets, keep, strict=True)], pa.list_(pa.int64())),
-                ], [*ids, "_row", "_n", "_fp", "_bands"])
+            for first, last in pieces(offsets, PIECE):
+                for lo in range(first, last, TEXTS):
+                    hi = min(lo + TEXTS, last)
+                    s, doc, words = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
+                    n, sums = distinct_sums(s, doc, hi - lo)
+                    keys = band_keys(signer.sign(s, doc, hi - lo), bands, rows)
+                    none = n == 0
+                    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), hi - lo, [None, pa.py_buffer(np.ascontiguousarray(sums))]).cast(pa.binary())
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
+                    out = pa.RecordBatch.from_arrays([
+                        *[batch.column(i).slice(lo, hi - lo) for i in range(len(ids) + 1)], pa.array(n.astype(np.int64)),
+                        *[pc.if_else(pa.array(none), pa.scalar(None, x.type), x) if none.any() else x for x in (raw, lists)],
+                    ], [*ids, "_row", "_n", "_fp", "_bands"])
+                    yield out.filter(pa.array(words >= min_words)) if (words < min_words).any() else out
 
     slim = units.select(*ids, F.xxhash64(*ids, text_col).alias("_row"), F.col(text_col).alias("_text"))
     schema = extended(slim.drop("_text").schema, "_n long, _fp binary, _bands array<bigint>")
@@ -283,15 +312,16 @@ def residual_links(shared: DataFrame, classes: DataFrame, sets: DataFrame, parts
     return dealt.mapInArrow(_across(percent, *shape), "u long, v long")
 
 
-def near_duplicates(units: DataFrame, ids: list[str], text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE_WORDS, shape: tuple[int, int] | None = None) -> DataFrame:
-    """ids..., _n (shingles), _class (of the component; null without shingles) of every unit.
+def near_duplicates(units: DataFrame, ids: list[str], text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE_WORDS, shape: tuple[int, int] | None = None, min_words: int = 0) -> DataFrame:
+    """ids..., _n (shingles), _class (of the component; null without shingles) of every unit, as a written table.
 
     Units whose shingle sets meet 100 * intersection >= percent * union are linked, and linked units share a class.
     Units without words link with nothing. Repeated rows and equal sets are one class. ids may be null; other columns
-    of units are not read. An empty table gives no rows. shape: bands and bins of a band, else bands_for(percent).
+    of units are not read. An empty table gives no rows. shape: bands and bins of a band, else bands_for(percent). Units
+    of fewer than min_words words are left out.
     """
     shape = shape or bands_for(percent)
-    signed = materialize(signatures(units, ids, text_col, shape, size), "signed")
+    signed = materialize(signatures(units, ids, text_col, shape, size, min_words), "signed")
     classes = signed.where("_fp IS NOT NULL").groupBy(F.col("_fp").alias("fp")).agg(F.min("_row").alias("row"), F.first("_n").alias("n"), F.first("_bands").alias("bands"))
     # numbers are read back from the written table, so a lost task can't renumber them
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
@@ -309,7 +339,9 @@ def near_duplicates(units: DataFrame, ids: list[str], text_col: str = "text", pe
     if not more.isEmpty():
         parts = materialize(components(links.union(more)), "parts")
     placed = classes.select("fp", "cid").join(parts, F.col("cid") == F.col("node"), "left").select("fp", F.coalesce("component", "cid").alias("_class"))
-    return signed.select(*ids, "_n", "_fp").join(placed, F.col("_fp") == F.col("fp"), "left").select(*ids, "_n", "_class")
+    out = materialize(signed.select(*ids, "_n", "_fp").join(placed, F.col("_fp") == F.col("fp"), "left").select(*ids, "_n", "_class"), "near")
+    release(signed, classes, links, more)
+    return out
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -317,7 +349,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A null id takes part but never names a component unless it is alone (component_id is then null, and it is kept).
     """
-    found = materialize(near_duplicates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"], "text", percent), "near")
+    found = near_duplicates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"], "text", percent)
     # written first, so that adaptive execution may split a class of many documents in the join
     least = materialize(found.where("_class IS NOT NULL").groupBy("_class").agg(F.min("doc_id").alias("least")), "least")
     joined = found.join(least, "_class", "left")

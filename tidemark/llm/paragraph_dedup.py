@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialize, table
 from tidemark.llm.near_dedup import PERCENT, near_duplicates
 from tidemark.llm.passages import cut_text, repeated_passages
-from tidemark.llm.source_mix import word_count
 
 #: Shorter paragraphs are left alone: common phrases recur by chance.
 MIN_WORDS = 20
@@ -39,10 +38,10 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """row, place, first_doc: the paragraphs to remove, and the document that keeps the first of their kind."""
-    units = paragraphs(docs, id_col, text_col).where(word_count(F.col("text")) >= min_words)
-    found = materialize(near_duplicates(units, ["row", "doc_id", "place"], "text", percent, shape=tuned(percent)), "paragraphs")
+    units = paragraphs(docs, id_col, text_col)
+    found = near_duplicates(units, ["row", "doc_id", "place"], "text", percent, shape=tuned(percent), min_words=min_words)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "place")
-    first = found.groupBy("_class").agg(F.min(key).alias("first"), F.count("*").alias("size")).where("size > 1")
+    first = materialize(found.where("_class IS NOT NULL").groupBy("_class").agg(F.min(key).alias("first"), F.count("*").alias("size")).where("size > 1"), "first")
     return found.join(first, "_class").where(~key.eqNullSafe(F.col("first"))).select("row", "place", F.col("first.doc_id").alias("first_doc")).distinct()
 
 

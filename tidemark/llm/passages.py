@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_view, materialize, mix64, pieces, powers, word_hashes, words
+from tidemark.llm.common import byte_view, materialize, mix64, pieces, powers, release, word_hashes, words
 from tidemark.llm.suffix_dedup import _filter, _may_repeat
 
 #: Words of a passage, and of the gram that is hashed at each word.
@@ -155,6 +155,7 @@ def repeated_passages(slim: DataFrame, gone: DataFrame) -> DataFrame:
     seen = runs.join(lines, "row", "left").select("h", "lo", "hi", "gone").mapInArrow(_open_anchors, "h long, c long")
     seen = materialize(seen.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h"), "anchors")
     bits = slim.sparkSession.sparkContext.broadcast(_filter(seen))
+    release(seen)
     found = slim.select("row", "doc_id", "text").mapInArrow(_candidates(bits), f"row long, doc_id {kind}, at array<int>, h array<long>, lo array<int>, hi array<int>, odd array<boolean>")
     flat = materialize(found.join(lines, "row", "left").mapInArrow(_open_windows, f"h long, row long, doc_id {kind}, at int, whole boolean, odd boolean"), "windows")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at")
