@@ -159,7 +159,8 @@ def repeated_passages(slim: DataFrame, gone: DataFrame) -> DataFrame:
     found = slim.select("row", "doc_id", "text").mapInArrow(_candidates(bits), f"row long, doc_id {kind}, at array<int>, h array<long>, lo array<int>, hi array<int>, odd array<boolean>")
     flat = materialize(found.join(lines, "row", "left").mapInArrow(_open_windows, f"h long, row long, doc_id {kind}, at int, whole boolean, odd boolean"), "windows")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at")
-    first = flat.groupBy("h").agg(F.min(F.when(F.col("whole"), key)).alias("first"), F.count("*").alias("c")).where("c > 1 AND first IS NOT NULL").select("h", "first")
+    # written first, so that adaptive execution may split the windows of a frequent hash in the join
+    first = materialize(flat.groupBy("h").agg(F.min(F.when(F.col("whole"), key)).alias("first"), F.count("*").alias("c")).where("c > 1 AND first IS NOT NULL").select("h", "first"), "first")
     later = flat.join(first, "h").where((F.col("first") < key) & (~F.col("odd") | (F.col("first.row") != F.col("row"))))
     return later.groupBy("row").agg(F.collect_set("at").alias("cuts"), F.collect_set("first.doc_id").alias("origins"))  # at most a document's windows
 
