@@ -22,6 +22,8 @@ from tidemark.functions.scalars import element_max, element_min, sdiv
 
 _TOKEN = re.compile(r"\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?)|\$(\w+)|(\w+)|(<=|>=|==|!=|[-+*/(),<>]))")
 _COMPARE = ("<", ">", "<=", ">=", "==", "!=")
+#: The column that numbers an instrument's rows where a function needs it.
+ROW = "_row"
 
 
 @dataclass(frozen=True)
@@ -123,7 +125,7 @@ class _Frame:
     """Rolling functions of one frame, as Columns."""
 
     def __init__(self, keys: list[str], order: str):
-        self.window = Window.partitionBy(*keys).orderBy(order)
+        self.keys, self.order, self.window = keys, order, Window.partitionBy(*keys).orderBy(order)
 
     def last(self, n: float) -> object:
         return self.window.rowsBetween(-(int(n) - 1), 0)
@@ -135,16 +137,34 @@ class _Frame:
         """The frame's values, nulls in place."""
         return F.transform(F.collect_list(F.struct(x.alias("x"))).over(self.last(n)), lambda s: s["x"])
 
-    def weighted(self, x: Column, n: float, weight) -> Column:
-        items = F.collect_list(F.struct(x.alias("x"))).over(self.last(n))
-        size = F.size(items)
-        step = F.aggregate(
-            F.transform(items, lambda s, i: F.struct(s["x"].alias("x"), weight(i, size).alias("w"))),
-            F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")),
-            lambda acc, s: F.when(s["x"].isNull(), acc).otherwise(F.struct((acc["a"] + s["x"] * s["w"]).alias("a"), (acc["b"] + s["w"]).alias("b"))),
-            lambda acc: sdiv(acc["a"], acc["b"]),
-        )
-        return step
+    def ema(self, x: Column, n: float) -> Column:
+        """Weighted mean with weights that fall by 1 - 2 / (n + 1) a row, null values left out; linear in the rows.
+
+        Rows are cut into blocks in which the weight falls to 1e-13. Sums over the block so far, weights counted from its
+        first row, and the sum of the block before give numerator and denominator up to a factor that cancels.
+        """
+        keep, rows = 1 - 2 / (n + 1), span_rows(n)
+        block, place = F.floor(F.col(ROW) / rows), F.col(ROW) % rows
+        now = Window.partitionBy(*self.keys, block).orderBy(self.order).rowsBetween(Window.unboundedPreceding, 0)
+        before = Window.partitionBy(*self.keys).orderBy(block).rangeBetween(-1, -1)
+        weight = F.pow(F.lit(keep), -place)
+        total = lambda v: F.sum(v).over(now) + keep**rows * F.coalesce(F.sum(v).over(before), F.lit(0.0))
+        older = lambda v: keep**rows * F.sum(v).over(before)
+        value, known = x * weight, F.when(x.isNotNull(), weight)
+        return F.coalesce(sdiv(total(value), total(known)), sdiv(older(value), older(known)))
+
+    def wma(self, x: Column, n: float) -> Column:
+        """Weights n for the current row, one less for each row before it, null values left out."""
+        w, at = self.last(n), F.col(ROW)
+        known = F.when(x.isNotNull(), at.cast("double"))
+        return sdiv((n - at) * F.sum(x).over(w) + F.sum(x * at).over(w), (n - at) * F.count(x).over(w) + F.sum(known).over(w))
+
+    def quantile(self, x: Column, q: float, w) -> Column:
+        """Linear interpolation between the sorted values of a frame; null without any."""
+        values = F.sort_array(F.collect_list(x).over(w))
+        place = (F.size(values) - 1) * F.lit(q)
+        low = F.get(values, F.floor(place).cast("int"))
+        return low + (place - F.floor(place)) * (F.get(values, F.ceil(place).cast("int")) - low)
 
     def call(self, name: str, x: Column, args: list, t: Column) -> Column:
         n = args[-1] if name != "Quantile" else args[0]
@@ -163,7 +183,7 @@ class _Frame:
             raw = (count - 1) * ((count + 1) * (F.kurtosis(x).over(w)) + 6)
             return F.when(count >= 4, F.try_divide(raw, ((count - 2) * (count - 3)).cast("double")))
         if name in ("Quantile", "Med"):
-            return F.percentile(x, F.lit(args[1] if name == "Quantile" else 0.5)).over(w)
+            return self.quantile(x, args[1] if name == "Quantile" else 0.5, w)
         if name == "Mad":
             values = F.collect_list(x).over(w)
             mean = F.avg(x).over(w)
@@ -176,10 +196,9 @@ class _Frame:
             best = (F.max if name == "IdxMax" else F.min)(x).over(w)
             return F.when(best.isNotNull(), F.array_position(F.transform(self.items(x, n), lambda v: F.coalesce(v == best, F.lit(False))), True).cast("double"))
         if name == "EMA":
-            keep = 1 - 2 / (n + 1)
-            return self.weighted(x, span_rows(n), lambda i, size: F.pow(F.lit(keep), size - 1 - i))
+            return self.ema(x, n)
         if name == "WMA":
-            return self.weighted(x, n, lambda i, size: (i + 1 + n - size).cast("double"))
+            return self.wma(x, n)
         if name in ("Slope", "Rsquare", "Resi"):
             both = F.when(x.isNotNull(), t.cast("double"))
             slope = sdiv(F.covar_samp(x, both).over(w), F.var_samp(both).over(w))
@@ -274,8 +293,10 @@ def compile_frame(df: DataFrame, expressions: dict[str, str], keys: tuple[str, .
             "IsNull": lambda: x[0].isNull().cast("double"), "And": lambda: ((x[0] != 0) & (x[1] != 0)).cast("double"), "Or": lambda: ((x[0] != 0) | (x[1] != 0)).cast("double"),
         }[node.value]()
 
-    base = df.columns
-    for i, stage in enumerate(_stages(list(roots.values()))):
+    base, stages = df.columns, _stages(list(roots.values()))
+    if any(node.value in ("EMA", "WMA") for stage in stages for node in stage):
+        df = df.withColumn(ROW, F.row_number().over(frame.window) - 1)
+    for i, stage in enumerate(stages):
         inputs, new = {}, {}
         for node in stage:  # plain arguments first, so that rolling functions read columns
             for a in node.args[: ROLLING[node.value]]:
