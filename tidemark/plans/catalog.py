@@ -88,9 +88,128 @@ FAMILIES: dict[str, dict[str, str]] = {
     "forward": {f"fwd_{h}": forward_return(h) for h in (1, 4, 12)},
 }
 
-CATALOG: dict[str, str] = {name: text for family in FAMILIES.values() for name, text in family.items()}
+
+
+def at(field: str, back: int = 1) -> str:
+    return f"Ref(${field}, {back})"
+
+
+def ttm(name: str, first: int = 0) -> str:
+    """The sum of four quarters from slot `first` on, as known one step ago."""
+    return "(" + " + ".join(at(f"{name}_q{k}") for k in range(first, first + 4)) + ")"
+
+
+def slot(name: str, k: int = 0) -> str:
+    return at(f"{name}_q{k}")
+
+
+def yoy(name: str, k: int = 0) -> str:
+    """Growth over the quarter a year before."""
+    return f"(({slot(name, k)} - {slot(name, k + 4)}) / Abs({slot(name, k + 4)}))"
+
+
+def change(ratio) -> str:
+    """ratio(0) - ratio(1): a ratio of the newest quarter less that of the one before."""
+    return f"{ratio(0)} - {ratio(1)}"
+
+
+def equity(k: int) -> str:
+    return f"({slot('assets', k)} - {slot('debt', k)})"
+
+
+def sparse(field: str) -> str:
+    """A field of events, 0 where nothing happened."""
+    return f"If(IsNull({at(field)}) > 0, 0, {at(field)})"
+
+
+def net(scope: tuple[str, ...]) -> str:
+    return "(" + " + ".join(f"{at('buy_' + k)} - {at('sell_' + k)}" for k in scope) + ")"
+
+
+def gross(scope: tuple[str, ...]) -> str:
+    return "(" + " + ".join(f"{at('buy_' + k)} + {at('sell_' + k)}" for k in scope) + ")"
+
+
+def held(x: str) -> str:
+    """x where holdings from abroad are above zero, else null."""
+    return f"If({at('nb_ratio')} > 0, {x}, 0 / 0)"
+
+
+def active(x: str) -> str:
+    """x where there is any margin trading, else null."""
+    return f"If(Less(IsNull({at('mg_buy')}), IsNull({at('mg_bal')})) > 0, 0 / 0, {x})"
+
+
+_SCOPES = {k: (k,) for k in ("sm", "md", "lg", "xl")} | {"all": ("sm", "md", "lg", "xl")}
+_EVIDENCE = f"(Sum({sparse('revised_up')}, {{n}}) + Sum({sparse('revised_down')}, {{n}}))"
+_DIFFUSION = f"If({_EVIDENCE} >= 2, (Sum({sparse('revised_up')}, {{n}}) - Sum({sparse('revised_down')}, {{n}})) / {_EVIDENCE}, 0 / 0)"
+_MARGIN = {k: f"(({slot('rev', k)} - {slot('cost', k)}) / {slot('rev', k)})" for k in range(6)}
+_DEBT = {k: f"({slot('debt', k)} / {slot('assets', k)})" for k in range(6)}
+
+#: Families over the made fields of wide_panel().
+WIDE_FAMILIES: dict[str, dict[str, str]] = {
+    "yield": {
+        "val_sp": f"1 / {at('ps')}", "val_dividend": f"{at('dv_ttm')} / 100", "val_dividend_ratio": f"{at('dv_ratio')} / 100", "val_ocf": f"{at('ocfps')} / {P}", "val_bps": f"{at('bps')} / {P}",
+        "val_rel_ps_26": f"{at('ps')} / Mean({at('ps')}, 26)", "val_peg": f"{at('pe')} / {positive(yoy('ni'))}",
+    },
+    "pairs": {
+        "corr_ret_turn_post": f"Corr(Ref($turnover, 2), {R}, 12)", "corr_ret_turn_prior": f"Corr({T}, Ref($close, 2) / Ref($close, 3) - 1, 12)", "corr_ret_turnd": f"Corr({T} - Ref($turnover, 2), {R}, 12)",
+        "corr_ret_turnd_prior": f"Corr({T} - Ref($turnover, 2), Ref($close, 2) / Ref($close, 3) - 1, 12)", "liq_shortcut_std_12": f"Std({SHORTCUT}, 12)", "path_up_ratio_26": f"Sum(If({R} > 0, 1, 0), 26) / 26",
+        "liq_volume_ratio_12": f"Mean({at('volume_ratio')}, 12)",
+    },
+    "order_flow": {f"flow_prop_{s}": f"If(Sum({A}, 12) > 0, Sum({net(k)}, 12) / Sum({A}, 12), 0 / 0)" for s, k in _SCOPES.items()} | {f"flow_shift_{s}": f"If(Sum({gross(k)}, 12) > 0, Sum({net(k)}, 12) / Sum({gross(k)}, 12), 0 / 0)" for s, k in _SCOPES.items()},
+    "northbound": {
+        "nb_level": at("nb_ratio"), "nb_change_4": f"{at('nb_ratio')} - Ref($nb_ratio, 5)", "nb_change_12": f"{at('nb_ratio')} - Ref($nb_ratio, 13)", "nb_accum_12": f"Sum(Delta({at('nb_ratio')}, 1), 12)", "nb_slope_12": f"Slope({at('nb_ratio')}, 12)",
+        "nb_held_change_12": held(f"{at('nb_ratio')} - Ref($nb_ratio, 13)"), "nb_held_level": held(at("nb_ratio")), "nb_prop_change_12": held(f"{at('nb_ratio')} - Mean({at('nb_ratio')}, 12)"),
+        "nb_shift_12": f"Sum(Delta({at('nb_value')}, 1), 12) / Sum(Abs(Delta({at('nb_value')}, 1)), 12)", "nb_excess_12": held(f"{at('nb_value')} / Mean({at('nb_value')}, 12) - ({momentum(12)})"),
+        "nb_trade_12": held(f"{at('nb_value')} / Mean({at('nb_value')}, 12) / Sum({A}, 12) * 1000000"),
+    },
+    "margin": {
+        "mg_balance": f"{at('mg_bal')} / {at('mcap')}", "mg_net_buy_12": f"Sum({at('mg_buy')}, 12) / Mean({at('mg_bal')}, 12)", "mg_balance_change_12": f"{at('mg_bal')} / Ref($mg_bal, 13) - 1", "mg_buy_prop_12": active(f"Sum({at('mg_buy')}, 12) / Sum({A}, 12)"),
+        "mg_balance_growth_12": active(f"{at('mg_bal')} / (Ref($mg_bal, 13) + 1) - ({momentum(12)})"), "mg_sell_prop_12": active(f"Sum({at('mg_sell_vol')} * {at('vwap')}, 12) / Sum({A}, 12)"),
+        "mg_sec_prop": active(f"{at('mg_sec_bal')} / {at('float_cap')}"), "mg_sec_growth_12": active(f"{at('mg_sec_bal')} / (Ref($mg_sec_bal, 13) + 1) - ({momentum(12)})"),
+    },
+    "statement": {
+        "q_gross_profit": f"({ttm('rev')} - {ttm('cost')}) / {slot('assets')}", "q_cash": f"{slot('cash')} / {slot('assets')}", "q_research": f"{slot('rd')} / {slot('assets')}", "q_sq_margin": _MARGIN[0], "q_sq_net_margin": f"{slot('ni')} / {slot('rev')}",
+        "q_roe": f"{ttm('ni')} / {equity(0)}", "q_roa": f"{ttm('ni')} / {slot('assets')}", "q_accruals": f"0 - ({ttm('ni')} - {ttm('cfo')}) / {slot('assets')}", "q_cfo_margin": f"{ttm('cfo')} / {ttm('rev')}",
+        "q_asset_turn": f"{ttm('rev')} / {slot('assets')}", "q_current": f"{slot('cur')} / {slot('curliab')}", "q_quick": f"({slot('cur')} - {slot('inv')}) / {slot('curliab')}", "q_margin_stability": f"0 - Std({_MARGIN[0]}, 52)", "q_margin_trend": f"Slope({_MARGIN[0]}, 52)",
+        "q_roe_trend": f"Slope({ttm('ni')} / {equity(0)}, 52)",
+    },
+    "ttm_change": {
+        "d_cfoa": change(lambda k: f"{ttm('cfo', k)} / {slot('assets', k)}"), "d_roa": change(lambda k: f"{ttm('ni', k)} / {slot('assets', k)}"), "d_roe": change(lambda k: f"{ttm('ni', k)} / {equity(k)}"), "d_cash_current": change(lambda k: f"{slot('cash', k)} / {slot('curliab', k)}"),
+        "d_cash_sales": change(lambda k: f"{ttm('cfo', k)} / {ttm('rev', k)}"), "d_debt_assets": change(lambda k: _DEBT[k]), "d_current": change(lambda k: f"{slot('cur', k)} / {slot('curliab', k)}"), "d_quick": change(lambda k: f"({slot('cur', k)} - {slot('inv', k)}) / {slot('curliab', k)}"),
+        "d_debt_equity": change(lambda k: f"{slot('debt', k)} / {equity(k)}"),
+    },
+    "growth": {f"g_{n}_yoy": yoy(n) for n in ("rev", "cost", "cfo", "ni")} | {f"g_{n}_accel": f"{yoy(n)} - {yoy(n, 1)}" for n in ("rev", "cfo", "ni")} | {f"g_{n}_ttm": f"{ttm(n)} / {ttm(n, 4)} - 1" for n in ("rev", "cfo", "ni")} | {f"g_{n}_trend": f"Slope({ttm(n)}, 52) / {ttm(n)}" for n in ("rev", "ni")},
+    "leverage": {"lev_debt": at("debt_share"), "lev_delever_13": f"0 - ({at('debt_share')} - Ref($debt_share, 14))", "lev_assets": _DEBT[0], "lev_equity": f"{slot('debt')} / {equity(0)}", "lev_delever_q": f"0 - ({_DEBT[0]} - {_DEBT[4]})"},
+    "events": {
+        "ev_eps_12": f"Sum({sparse('eps_surprise')}, 12)", "ev_rev_12": f"Sum({sparse('rev_surprise')}, 12)", "ev_momentum": f"If(Sum({sparse('eps_surprise')}, 12) > 0, If({momentum(12)} > 0, 1, 0), 0)", "ev_diffusion_12": _DIFFUSION.format(n=12), "ev_diffusion_26": _DIFFUSION.format(n=26),
+        "ev_sue": f"({slot('ni')} - {slot('ni', 4)}) / {positive('Std(' + slot('ni') + ' - ' + slot('ni', 4) + ', 104)')}", "ev_sur": f"({slot('rev')} - {slot('rev', 4)}) / {positive('Std(' + slot('rev') + ' - ' + slot('rev', 4) + ', 104)')}",
+    },
+    "winners": {
+        "win_zero_days_26": f"Sum(If(Abs({R}) < 0.001, 1, 0), 26)", "win_spike_4": f"0 - ({T} / Mean({T}, 26)) * ({momentum(4)})", "win_accel_rev": f"Delta({yoy('rev')}, 13)", "win_accel_ni": f"Delta({yoy('ni')}, 13)", "win_accel_cfo": f"Delta({yoy('cfo')}, 13)",
+        "win_score": " + ".join(f"({c})" for c in (
+            f"{ttm('ni')} > 0", f"{ttm('cfo')} > 0", f"{ttm('ni')} / {slot('assets')} > {ttm('ni', 4)} / {slot('assets', 4)}", f"{ttm('cfo')} > {ttm('ni')}", f"{_DEBT[0]} < {_DEBT[4]}", f"{slot('cur')} / {slot('curliab')} > {slot('cur', 4)} / {slot('curliab', 4)}",
+            f"{at('holders')} <= Ref($holders, 53)", f"{_MARGIN[0]} > {_MARGIN[4]}", f"{ttm('rev')} / {slot('assets')} > {ttm('rev', 4)} / {slot('assets', 4)}")),
+    },
+    "endpoints": {f"end_{f}_{n}": f"Sum({sparse(f)}, {n}) / {at('mcap')} * 1000" for f in ("block_net", "insider_net") for n in (4, 12, 26)} | {f"end_visits_{n}": f"Sum({sparse('visits')}, {n})" for n in (4, 12, 26)}
+    | {f"end_{f}_density_26": f"Sum(1 - IsNull({at(f)}), 26) / 26" for f in ("block_net", "insider_net", "visits")} | {f"end_{f}_ema_12": f"EMA({sparse(f)} / {at('mcap')}, 12) * 1000" for f in ("block_net", "insider_net")} | {"end_visits_ema_12": f"EMA({sparse('visits')}, 12)"}
+    | {f"end_holders_{n}": f"0 - ({at('holders')} / Ref($holders, {n + 1}) - 1)" for n in (4, 12, 26)} | {"end_visits_surge": f"Sum({sparse('visits')}, 4) / {positive('Sum(' + sparse('visits') + ', 26)')}"},
+}
+FAMILIES_OF_ALL = FAMILIES | WIDE_FAMILIES
+
+#: Composites: rank averages by date, a weight for each factor, negative where a low value is good.
+COMPOSITES: dict[str, dict[str, float]] = {
+    "comp_value": {"val_ep": 0.25, "val_bp": 0.25, "val_sp": 0.25, "val_ocf": 0.25}, "comp_yield": {"val_dividend": 0.5, "val_ocf": 0.5}, "comp_momentum": {"mom_12": 0.5, "mom_26": 0.5}, "comp_reversal": {"rev_1": 0.5, "rev_4": 0.5},
+    "comp_low_risk": {"risk_vol_12": -0.5, "risk_range_12": -0.5}, "comp_liquidity": {"liq_turn_12": -0.5, "liq_amihud_12": 0.5}, "comp_quality": {"q_roe": 0.4, "q_gross_profit": 0.3, "q_accruals": 0.3}, "comp_cash": {"q_cash": 0.5, "q_cfo_margin": 0.5},
+    "comp_growth": {"g_rev_yoy": 0.5, "g_ni_yoy": 0.5}, "comp_accel": {"g_rev_accel": 0.5, "g_ni_accel": 0.5}, "comp_safety": {"lev_assets": -0.5, "q_current": 0.5}, "comp_change": {"d_roa": 0.5, "d_cfoa": 0.5}, "comp_flow": {"flow_prop_lg": 0.5, "flow_prop_xl": 0.5},
+    "comp_abroad": {"nb_change_12": 0.5, "nb_accum_12": 0.5}, "comp_margin": {"mg_balance": -0.5, "mg_buy_prop_12": -0.5}, "comp_events": {"ev_eps_12": 0.5, "ev_rev_12": 0.5}, "comp_value_quality": {"val_ep": 0.5, "q_roe": 0.5}, "comp_value_momentum": {"val_bp": 0.5, "mom_12": 0.5},
+    "comp_size_value": {"size_ln": -0.5, "val_bp": 0.5}, "comp_quality_low_risk": {"q_roa": 0.5, "risk_vol_12": -0.5}, "comp_all": {"val_ep": 0.2, "q_roe": 0.2, "mom_12": 0.2, "risk_vol_12": -0.2, "g_ni_yoy": 0.2},
+}
+
+CATALOG: dict[str, str] = {name: text for family in FAMILIES_OF_ALL.values() for name, text in family.items()}
 
 
 def category(factor: str) -> str | None:
     """The family of a factor."""
-    return next((f for f, names in FAMILIES.items() if factor in names), None)
+    return next((f for f, names in FAMILIES_OF_ALL.items() if factor in names), None)

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans.catalog import FAMILIES
+from tidemark.plans.catalog import FAMILIES, WIDE_FAMILIES
 from tidemark.plans.expression import compile_frame, compile_sql
-from tidemark.sources.tables import PANEL_SQL, panel
+from tidemark.sources.tables import PANEL_SQL, WIDE_SQL, panel, wide_panel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,19 +28,20 @@ def r6(sql: str) -> str:
     return f"round({sql} + {SHIFT}, {PLACES}) + 0.0"
 
 
-def _factor_query(family: dict[str, str]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: rounded(compile_frame(panel(spark, sf_dir), family).select("instrument", "date", *family))
+def _factor_query(family: dict[str, str], source: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: rounded(compile_frame(source(spark, sf_dir), family).select("instrument", "date", *family))
 
 
-def _factor_sql(family: dict[str, str]) -> str:
-    ctes, columns = compile_sql(family, "panel")
+def _factor_sql(family: dict[str, str], with_sql: str, source: str) -> str:
+    ctes, columns = compile_sql(family, source)
     listed = ", ".join(f"{r6(sql)} AS {name}" for name, sql in columns.items())
-    return f"WITH {PANEL_SQL},\n{ctes}\nSELECT instrument, date::VARCHAR AS date, {listed} FROM _last"
+    return f"WITH {with_sql},\n{ctes}\nSELECT instrument, date::VARCHAR AS date, {listed} FROM _last"
 
 
-for _name, _family in FAMILIES.items():
-    QUERIES[f"factors_{_name}"] = _factor_query(_family)
-    ORACLE_SQL[f"factors_{_name}"] = _factor_sql(_family)
+for _families, _read, _with, _source in ((FAMILIES, panel, PANEL_SQL, "panel"), (WIDE_FAMILIES, wide_panel, WIDE_SQL, "wide")):
+    for _name, _family in _families.items():
+        QUERIES[f"factors_{_name}"] = _factor_query(_family, _read)
+        ORACLE_SQL[f"factors_{_name}"] = _factor_sql(_family, _with, _source)
 
 
 def query(name: str, sql: str | None = None, with_panel: bool = True):

@@ -67,9 +67,42 @@ trades AS (
 )"""
 
 
-def write_by_year(df: DataFrame, path: str, date_col: str = "date", mode: str = "append") -> None:
-    """Sink: Parquet partitioned by the year of a date, sorted within files by instrument for narrow reads."""
-    df.withColumn("year", F.year(date_col)).repartition("year").sortWithinPartitions("instrument", date_col).write.mode(mode).partitionBy("year").parquet(path)
+def _slot(base: int, step: int, mod: int, back: int) -> str:
+    """A made quarterly figure, `back` quarters of 13 weeks before a row's own."""
+    return f"({base} + (instrument % 31) * 10 + (((day_no - day_no % 13) / 13 - {back}) * {step} + instrument) % {mod})"
+
+
+#: Figures of statements by quarter: name, and (base, step, modulus) of the made values; slots 0 (own quarter) to 7.
+STATEMENT = {"rev": (1000, 37, 211), "cost": (600, 23, 173), "cfo": (90, 31, 67), "ni": (120, 41, 89), "assets": (5000, 53, 907), "cash": (400, 19, 101), "rd": (30, 7, 23), "debt": (1800, 29, 307), "cur": (1500, 43, 251), "curliab": (900, 47, 199), "inv": (300, 17, 83)}
+#: Made fields beside the panel's, as SQL that Spark and DuckDB read alike: valuation, flows by order size, holdings
+#: from abroad, margin trading, estimates and block trades (null where nothing happened), quarterly statement slots.
+MADE_FIELDS: dict[str, str] = {
+    "ps": "close / (instrument % 23 + 30)", "dv_ttm": "(instrument % 7) * 0.5", "dv_ratio": "(instrument % 5) * 0.4", "ocfps": "open / (instrument % 19 + 8)", "bps": "low / (instrument % 3 + 2)",
+    "volume_ratio": "vol / (instrument % 29 + 10)", "debt_share": "30.0 + instrument % 40 + day_no % 13", "vwap": "amount / nullif(vol, 0)", "float_cap": "mcap * 0.6",
+    **{f"buy_{k}": f"amount * (day_no % {m} + 1) / 100" for k, m in (("sm", 7), ("md", 11), ("lg", 13), ("xl", 5))},
+    **{f"sell_{k}": f"amount * (instrument % {m} + 1) / 100" for k, m in (("sm", 9), ("md", 8), ("lg", 15), ("xl", 6))},
+    "nb_ratio": "CASE WHEN instrument % 3 = 0 THEN 0.0 ELSE (day_no % 17 + instrument % 5) * 0.1 END", "nb_value": "mcap * (day_no % 17 + instrument % 5) * 0.001",
+    "mg_buy": "CASE WHEN instrument % 4 <> 1 THEN amount * (day_no % 7 + 1) / 40 END", "mg_bal": "CASE WHEN instrument % 4 <> 1 THEN mcap * (day_no % 11 + 3) * 0.001 END",
+    "mg_sell_vol": "CASE WHEN instrument % 4 <> 1 THEN vol * (day_no % 6) / 30 END", "mg_sec_bal": "CASE WHEN instrument % 4 <> 1 THEN mcap * (day_no % 9) * 0.0002 END",
+    "eps_surprise": "CASE WHEN day_no % 13 = instrument % 13 THEN ((instrument + day_no) % 21 - 10) * 0.01 END", "rev_surprise": "CASE WHEN day_no % 13 = instrument % 13 THEN ((instrument * 3 + day_no) % 17 - 8) * 0.02 END",
+    "revised_up": "CASE WHEN (day_no + instrument) % 4 = 0 THEN (day_no % 3) * 1.0 END", "revised_down": "CASE WHEN (day_no + instrument) % 4 = 0 THEN ((day_no + instrument) % 5) * 0.5 END",
+    "block_net": "CASE WHEN (day_no + instrument * 7) % 9 = 0 THEN amount * ((instrument + day_no) % 5 - 2) * 0.01 END", "insider_net": "CASE WHEN (day_no + instrument * 5) % 11 = 0 THEN mcap * ((instrument + day_no) % 7 - 3) * 0.0001 END",
+    "visits": "CASE WHEN (day_no + instrument * 3) % 6 = 0 THEN ((instrument + day_no) % 8) * 1.0 END", "holders": "10000.0 + (instrument % 53) * 100 + (day_no % 29) * 10",
+    **{f"{name}_q{k}": _slot(*f, k) for name, f in STATEMENT.items() for k in range(8 if name in ("rev", "cost", "cfo", "ni") else 6)},
+}
+
+
+def wide_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel with MADE_FIELDS; columns that no expression reads are pruned."""
+    return panel(spark, sf_dir).selectExpr("*", *[f"CAST({sql} AS DOUBLE) AS {name}" for name, sql in MADE_FIELDS.items()])
+
+
+WIDE_SQL = f"{PANEL_SQL}, wide AS (SELECT *, {', '.join(f'CAST({sql} AS DOUBLE) AS {name}' for name, sql in MADE_FIELDS.items())} FROM panel)"
+
+
+def write_by_year(df: DataFrame, path: str, date_col: str = "date", mode: str = "append", files: int = 8) -> None:
+    """Sink: Parquet partitioned by the year of a date, `files` or fewer a year, each with whole instruments, sorted for narrow reads."""
+    df.withColumn("year", F.year(date_col)).repartition("year", F.pmod(F.xxhash64("instrument"), F.lit(files))).sortWithinPartitions("instrument", date_col).write.mode(mode).partitionBy("year").parquet(path)
 
 
 def read_window(spark: SparkSession, path: str, start: str, end: str, lookback_days: int = 0) -> DataFrame:
