@@ -61,5 +61,5 @@ def organisation_id(name: Column) -> Column:
 
 def analyst_id(organisation: Column, authors: Column) -> Column:
     """Organisation and its authors in one order, however they were listed."""
-    tokens = F.array_sort(F.filter(F.transform(F.split(authors, r"[,;/]"), F.trim), lambda t: t != ""))
+    tokens = F.array_sort(F.filter(F.transform(F.split(authors, r"[,;/]"), lambda t: F.trim(t)), lambda t: t != ""))
     return F.concat_ws("|", organisation_id(organisation), F.array_join(tokens, ","))

@@ -91,25 +91,36 @@ def simulate(schedule: DataFrame, prices: DataFrame, cash: float = 1e6, costs: C
     schedule: scenario, date, instrument, weight (targets of rebalance dates); prices: date, instrument, open, close,
     vol. Fills are at the open moved by slippage, sales before purchases, in lots, at most a share of the volume; shares
     bought today can't be sold today; a name without a price or volume doesn't trade and is valued at its last price.
+    With columns up and down in prices (null for no limit), nothing is bought at an open on the upper limit or sold at one
+    on the lower. A name is closed at its last price, less costs, on the first date after its last row; with no price
+    known it is worth 0.
     Scenarios run in parallel; a scenario's state is its positions, so a fold holds one scenario's schedule and prices.
     """
-    joined = prices.join(schedule.select("scenario").distinct(), how="cross").join(schedule, ["scenario", "date", "instrument"], "left")
-    held = joined.join(schedule.select("scenario", "instrument").distinct(), ["scenario", "instrument"], "left_semi")
+    limits = [c for c in ("up", "down") if c in prices.columns]
+    names = schedule.select("scenario", "instrument").distinct()
+    held = prices.select("date", "instrument", "open", "close", "vol", *limits).join(names, "instrument").join(schedule.select("scenario", "date", "instrument", "weight"), ["scenario", "date", "instrument"], "left")
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         money, shares, last, out = cash, {}, {}, []
+        ends = frame.groupby("instrument")["date"].max().to_dict()
         for date, day in frame.sort_values(["date", "instrument"]).groupby("date", sort=True):
             day = day.set_index("instrument")
             last |= {k: v for k, v in day["close"].items() if v == v}
             live = day[(day["open"] > 0) & (day["vol"] > 0)]
             traded = 0.0
+            for k in sorted(k for k in shares if ends[k] < date):
+                value = shares.pop(k) * last.get(k, 0.0)
+                money += value - (costs.sell(value) if value else 0.0)
+                traded += value
+            shut_up = set(live.index[live["open"] >= live["up"] - 0.005]) if "up" in live else set()
+            shut_down = set(live.index[live["open"] <= live["down"] + 0.005]) if "down" in live else set()
             if day["weight"].notna().any():
                 target = day["weight"].dropna().to_dict()
                 worth = money + sum(n * last.get(k, 0.0) for k, n in shares.items())
                 wanted = {k: int(worth * target.get(k, 0.0) / live.at[k, "open"] // costs.lot * costs.lot) for k in live.index if k in target or k in shares}
                 for k in sorted(wanted):
                     surplus = shares.get(k, 0) - wanted[k]
-                    if surplus > 0:
+                    if surplus > 0 and k not in shut_down:
                         n = min(surplus, int(live.at[k, "vol"] * costs.lot * costs.participation))
                         value = n * max(live.at[k, "open"] * (1 - costs.slippage), 0.01)
                         if n > 0:
@@ -118,7 +129,7 @@ def simulate(schedule: DataFrame, prices: DataFrame, cash: float = 1e6, costs: C
                             shares[k] -= n
                 for k in sorted(wanted):
                     short = wanted[k] - shares.get(k, 0)
-                    if short > 0:
+                    if short > 0 and k not in shut_up:
                         price = live.at[k, "open"] * (1 + costs.slippage)
                         n = min(short, int(live.at[k, "vol"] * costs.lot * costs.participation)) // costs.lot * costs.lot
                         while n > 0 and n * price + costs.buy(n * price) > money:

@@ -10,6 +10,7 @@ from tidemark.operators import cross_section as X
 from tidemark.operators import evaluation as E
 from tidemark.operators import portfolio as P
 from tidemark.operators import temporal as T
+from tidemark.operators.trading import sessions
 from tidemark.plans.expression import compile_frame
 from tidemark.queries import query, r6
 from tidemark.sources.tables import bars, panel, table
@@ -321,7 +322,8 @@ def order_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel(spark, sf_dir)
     picks = P.equal_weights(P.top_by(p.where("day_no % 4 = 0"), "turnover", 10)).select(F.lit("turnover").alias("scenario"), "date", "instrument", "weight")
     more = P.equal_weights(P.top_by(p.where("day_no % 4 = 0"), "mcap", 10)).select(F.lit("size").alias("scenario"), "date", "instrument", "weight")
-    return P.simulate(picks.union(more), p.select("date", "instrument", "open", "close", "vol"), 1e7)
+    gated = sessions(p, F.lit(0.3), 5)
+    return P.simulate(picks.union(more), gated.select("date", "instrument", "open", "close", "vol", "up", "down"), 1e7)
 
 
 @query("coverage_audit", """x AS (SELECT 1) SELECT instrument, count(*) AS days, count(close) AS known, min(date)::VARCHAR AS first_day, max(date)::VARCHAR AS last_day, round(avg((close IS NULL)::INTEGER) + 3.3e-10, 6) + 0.0 AS missing FROM panel GROUP BY instrument""")

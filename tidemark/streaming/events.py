@@ -12,9 +12,12 @@ def event_stream(spark: SparkSession, folder: str, per_trigger: int = 1) -> Data
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
-def windowed_totals(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Counts and sums by event type and window; windows close once the watermark passes them. Works on batches too."""
-    marked = events.withWatermark("ts", late)
+def windowed_totals(events: DataFrame, width: str = "1 day", late: str | None = "2 days") -> DataFrame:
+    """Counts and sums by event type and window; windows close once the watermark passes them. Works on batches too.
+
+    late: None where events have a watermark already.
+    """
+    marked = events.withWatermark("ts", late) if late else events
     return marked.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
