@@ -5,8 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from test_operators import brute_components, frame, shingles
-from tidemark.llm import itq_dedup, near_dedup
+from test_operators import brute_components, frame, removed_by_brute_force, shingles
+from tidemark.llm import itq_dedup, near_dedup, suffix_dedup
 
 
 def near_copies(count, base_words=60, changes=3, seed=4):
@@ -90,3 +90,11 @@ def test_recall_on_concentrated_vectors(spark, make):
     want = ((n @ n.T >= 0.93) & (label[:, None] == label[None, :])).sum(axis=1) - 1
     links = np.array([got[i] for i in range(len(x))])
     assert want.sum() > 1000 and (links <= want).all() and links.sum() >= 0.99 * want.sum()
+
+
+def test_a_passage_in_most_documents(spark):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(220))
+    rows = [(i, "".join(rng.choice("ijklmnop") for _ in range(rng.randint(0, 90))) + passage[rng.randint(0, 60) :] + str(i)) for i in range(1800)]
+    got = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in suffix_dedup.without_repeats(frame(spark, rows).repartition(24)).collect()}
+    assert got == removed_by_brute_force(rows)

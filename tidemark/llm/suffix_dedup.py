@@ -5,7 +5,7 @@
 2. Shards: runs of windows whose anchor may repeat go, with their bytes, to the shard of that hash. A shard builds the
    suffix array of its distinct pieces by Larsson-Sadakane refinement, and Kasai's recursion gives its windows' prefixes;
    suffixes that share 100 bytes are one group, and all but its earliest member are repeats.
-3. Merging: a hash with more than its part of all anchors is spread over many shards. Their survivors' prefixes, sorted,
+3. Merging: a hash with more than its part of the runs that may repeat is spread over many shards. Their survivors' prefixes, sorted,
    are merged by binary search, which leaves the earliest of each prefix.
 4. Removal: windows that may repeat, less the survivors, are the repeats; the bytes they cover are cut.
 """
@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.anchors import WINDOW, runs
-from tidemark.llm.common import byte_view, materialize, partitions, pieces, table
+from tidemark.llm.common import byte_view, materialize, partitions, pieces, release, table
 
 #: Bits of the filter (16 MB), whatever the corpus; bytes of a shard; bytes of text handled at once.
 FILTER_BITS, SHARD, PIECE = 27, 1 << 19, 1 << 18
-#: A hash with more than this part of all anchors is spread over shards; so at most its inverse are.
+#: A hash with more than this part of all runs that may repeat is spread over shards; so at most its inverse are.
 HOT = 1e-4
 
 
@@ -124,19 +124,28 @@ def survivors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _hashes(docs: DataFrame) -> DataFrame:
-    """h, key, c: counts of the long hashes (key false), and of the anchors' hashes that are frequent in some piece."""
+    """h, c: counts of the long hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = byte_view(batch.column(0))
             for lo, hi in pieces(offsets, PIECE):
-                *_, h, _, g = runs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                u, c = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c), pa.array(np.zeros(len(u), bool))], ["h", "c", "key"])
-                u, c = np.unique(g, return_counts=True)
-                u, c = u[c >= max(4, len(g) * HOT / 2)], c[c >= max(4, len(g) * HOT / 2)]
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c), pa.array(np.ones(len(u), bool))], ["h", "c", "key"])
+                u, c = np.unique(runs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c)], ["h", "c"])
 
-    return docs.select("text").mapInArrow(run, "h long, c long, key boolean").groupBy("h", "key").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def _loads(docs: DataFrame, words) -> DataFrame:
+    """h, c: how many runs that may repeat each anchor's hash has, all of them counted."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = byte_view(batch.column(0))
+            for lo, hi in pieces(offsets, PIECE):
+                *_, long, _, g = runs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                u, c = np.unique(g[_may_repeat(words.value, long)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c)], ["h", "c"])
+
+    return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def _filter(repeated: DataFrame) -> np.ndarray:
@@ -312,12 +321,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     order = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     slim = docs.select(F.col(id_col).alias("id"), order.alias("doc"), F.hash(text_col).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = materialize(_hashes(slim).where("c > 1"), "anchors")
-    repeated = counts.where("NOT key")
-    total = repeated.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    share = max(total * HOT, 1000.0)
-    hot = {r["h"]: int(-(-r["c"] // share)) for r in counts.where(F.col("key") & (F.col("c") > share)).collect()}  # at most 1 / HOT rows
+    repeated = materialize(_hashes(slim).where("c > 1").select("h"), "anchors")
     words = spark.sparkContext.broadcast(_filter(repeated))
+    release(repeated)
+    loads = materialize(_loads(slim, words), "loads")
+    share = max(loads.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0] * HOT, 1000.0)
+    hot = {r["h"]: int(-(-r["c"] // share)) for r in loads.where(F.col("c") > share).collect()}  # at most 1 / HOT rows
+    release(loads)
     alive = alive_windows(slim.select("doc", "th", "text"), words, hot)
     lists = alive.groupBy("doc", "th").agg(F.collect_list("at").alias("places"), F.collect_list("alive").alias("flags"))  # at most a document's windows
     joined = slim.join(lists, ["doc", "th"], "left").select("id", "text", "places", "flags")
