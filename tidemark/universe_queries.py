@@ -22,15 +22,15 @@ _USED = {f: CATALOG[f] for f in sorted({f for weights in COMPOSITES.values() for
 
 def _composite_sql() -> str:
     ctes, columns = compile_sql(_USED, "wide")
-    listed = ", ".join(f"{sql} AS {name}, -({sql}) AS n_{name}" for name, sql in columns.items())
+    listed = ", ".join(f"round({sql}, 12) AS {name}, -round({sql}, 12) AS n_{name}" for name, sql in columns.items())
     ranks = ", ".join(f"{_rank(f)} AS r_{f}" for f in sorted({(f if w >= 0 else "n_" + f) for weights in COMPOSITES.values() for f, w in weights.items()}))
     scores = ", ".join(f"{r6(' + '.join(f'r_{f if w >= 0 else chr(110) + chr(95) + f} * {abs(w)}' for f, w in weights.items()))} AS {name}" for name, weights in COMPOSITES.items())
     return f"WITH {WIDE_SQL},\n{ctes}, f AS (SELECT instrument, date, {listed} FROM _last), r AS (SELECT instrument, date, {ranks} FROM f) SELECT instrument, date::VARCHAR AS date, {scores} FROM r"
 
 
 def factor_composites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All composites: each factor's rank is computed once, then weighted."""
-    values = compile_frame(wide_panel(spark, sf_dir), _USED).select("instrument", "date", *_USED)
+    """All composites: each factor's rank is computed once, then weighted. Values equal to 12 decimals tie."""
+    values = compile_frame(wide_panel(spark, sf_dir), _USED).select("instrument", "date", *[F.round(f, 12).alias(f) for f in _USED])
     signed = {(f, w >= 0) for weights in COMPOSITES.values() for f, w in weights.items()}
     ranks = values.select("instrument", "date", *[X.rank_pct(C(f) if up else -C(f), "date").alias(f"r{int(up)}_{f}") for f, up in sorted(signed)])
     total = lambda weights: sum((C(f"r{int(w >= 0)}_{f}") * abs(w) for f, w in weights.items()), F.lit(0.0))
