@@ -4,8 +4,9 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pytest
 
-from tidemark.llm import anchors, paragraph_dedup, secret_scan
+from tidemark.llm import anchors, hmm_score, paragraph_dedup, secret_scan
 
 
 def test_repeated_passages(spark):
@@ -73,3 +74,31 @@ def test_anchors_of_long_texts(monkeypatch):
     want = windows()
     monkeypatch.setattr(anchors, "_PLACE", 10)
     assert windows() == want and len(want) == sum(max(0, n - 99) for n in sizes.tolist())
+
+
+@pytest.mark.parametrize("segment", [1, 3, 7, 512])
+def test_training_counts_of_cut_texts(segment):
+    rng = np.random.default_rng(5)
+    model = hmm_score.Hmm.initial(np.array([5.0, 2.0, 1.0, 4.0]), states=3)
+    model.start, model.move = rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3)
+    texts = [rng.integers(0, 4, n).astype(np.uint16) for n in (1, 40, 3, 7, 6, 100, 14)]
+    whole = sum(model.expected([t]) for t in texts)
+    assert model.counted(texts, segment, most=5) == pytest.approx(whole)
+    assert whole[:3].sum() == pytest.approx(len(texts)) and whole[3:12].sum() == pytest.approx(sum(len(t) - 1 for t in texts))
+
+
+def test_training_counts_by_all_paths():
+    model = hmm_score.Hmm.initial(np.array([5.0, 2.0, 1.0]), states=2)
+    text = np.array([0, 2, 1, 1, 0, 2], np.uint16)
+    want, total = np.zeros(2 + 4 + 6), 0.0
+    for path in np.ndindex(*[2] * len(text)):
+        p = model.start[path[0]] * model.emit[text[0], path[0]]
+        for t in range(1, len(text)):
+            p *= model.move[path[t - 1], path[t]] * model.emit[text[t], path[t]]
+        total += p
+        want[path[0]] += p
+        for t, state in enumerate(path):
+            want[6 + text[t] * 2 + state] += p
+            if t:
+                want[2 + path[t - 1] * 2 + state] += p
+    assert model.counted([text], 4) == pytest.approx(want / total)

@@ -4,7 +4,8 @@ A latent state emits a word class and the class emits a word: P(word | state) =
 with c the word's training count and N, V the tokens and distinct words of its class, one slot kept for unseen words.
 Frequent words are classes of their own; the others share classes by their last two bytes; the end of a text is one.
 Baum-Welch: each partition sums expected counts over its training texts, the sums meet in one small aggregate, and the
-re-estimated parameters go out again. A text's likelihood is exact: scaled forward recursion over the whole text.
+re-estimated parameters go out again. Long texts are worked on in segments at once; products of transfer matrices carry
+the forward and backward messages across the cuts, so the sums are those of whole texts. A text's likelihood is exact: scaled forward recursion over the whole text.
 Word counts are a distributed table as large as the vocabulary; only a head of fixed size travels with the tasks, and
 words beyond it meet their counts in a join.
 """
@@ -23,8 +24,8 @@ from tidemark.llm.common import _LOWER, byte_view, materialize, mix64, pieces, t
 STATES, ROUNDS = 6, 3
 #: Words that are classes of their own, classes for the rest, and words whose counts go out with the tasks.
 OWN_CLASSES, SHARED_CLASSES, HEAD_WORDS = 1000, 509, 200_000
-#: Training reads texts in segments of this many tokens; scoring never cuts a text.
-SEGMENT = 512
+#: Training works on segments of this many tokens, joined by messages over their borders; tokens of texts held at once.
+SEGMENT, HELD_TOKENS = 512, 1 << 19
 PIECE = 2 << 20
 #: The hash that stands for the end of a text.
 END = np.uint64(0x5EED)
@@ -174,38 +175,92 @@ class Hmm:
             self._strip, self._strip_at = strip, (id(texts), at)
         return self._strip[t - at * 64, :b]
 
-    def expected(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Expected counts (start, move, emit) of the class sequences, flat; texts in order of falling length."""
+    def spans(self, segments: list[np.ndarray]) -> np.ndarray:
+        """[n, K, K], up to a factor: a segment's words and its last state, given its first; in order of falling length."""
+        k = self.emit.shape[1]
+        classes, lengths = self._padded(segments)
+        live = np.searchsorted(-lengths, -np.arange(len(classes)), side="left")
+        out = np.zeros((len(segments), k, k))
+        out[:, np.arange(k), np.arange(k)] = self.emit[classes[0]]
+        for t in range(1, len(classes)):
+            b = live[t]
+            out[:b] = (out[:b].reshape(-1, k) @ self.move).reshape(b, k, k) * self.emit[classes[t, :b]][:, None, :]
+            if t % 16 == 0:
+                out[:b] /= out[:b].max(axis=(1, 2), keepdims=True)
+        return out / out.max(axis=(1, 2), keepdims=True)
+
+    def borders(self, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each segment of one text, in order: the state before it (0 for the first), what follows it by its last state."""
+        n, k = len(spans), self.emit.shape[1]
+        before, after = np.zeros((n, k)), np.ones((n, k))
+        enter = self.start
+        for s in range(n - 1):
+            a = enter @ spans[s]
+            before[s + 1] = a / a.sum()
+            enter = before[s + 1] @ self.move
+        for s in range(n - 1, 0, -1):
+            b = self.move @ (spans[s] @ after[s])
+            after[s - 1] = b / b.max()
+        return before, after
+
+    def expected(self, texts: list[np.ndarray], before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
+        """Expected counts (start, move, emit) of the class sequences, flat; texts in order of falling length.
+
+        before, after: borders(), where the sequences are segments of longer ones.
+        """
         c, k = self.emit.shape
         classes, lengths = self._padded(texts)
         steps, n = classes.shape
+        before = np.zeros((n, k)) if before is None else before
+        first = ~before.any(axis=1)
         live = np.searchsorted(-lengths, -np.arange(steps), side="left")
         alpha, scale = np.zeros((steps, n, k)), np.ones((steps, n))
         for t in range(steps):
             b = live[t]
-            a = self.emit[classes[t, :b]] * (self.start if t == 0 else alpha[t - 1, :b] @ self.move)
+            a = self.emit[classes[t, :b]] * (np.where(first[:, None], self.start, before @ self.move) if t == 0 else alpha[t - 1, :b] @ self.move)
             scale[t, :b] = a.sum(axis=1)
             alpha[t, :b] = a / scale[t, :b, None]
         move = np.zeros((k, k))
         beta = np.ones((n, k))
+        if after is not None:
+            beta = after / (alpha[lengths - 1, np.arange(n)] * after).sum(axis=1, keepdims=True)
         for t in range(steps - 1, 0, -1):
             b = live[t]
             back = self.emit[classes[t, :b]] * beta[:b] / scale[t, :b, None]
             move += alpha[t - 1, :b].T @ back
             alpha[t, :b] *= beta[:b]
             beta[:b] = back @ self.move.T
+        move += before.T @ (self.emit[classes[0]] * beta / scale[0, :, None])
         alpha[0] *= beta
         mask = np.arange(steps)[:, None] < lengths[None, :]
         seen, gamma = classes[mask], alpha[mask]
         emit = np.stack([np.bincount(seen, weights=gamma[:, i], minlength=c) for i in range(k)], axis=1)
-        return np.concatenate([alpha[0].sum(axis=0), (move * self.move).ravel(), emit.ravel()])
-
-
-def _batched(texts: list[np.ndarray], most: int) -> Iterator[list[np.ndarray]]:
-    """Sequences in order of falling length, in lists of at most `most`."""
-    texts = sorted(texts, key=len, reverse=True)
-    for i in range(0, len(texts), most):
-        yield texts[i : i + most]
+        return np.concatenate([alpha[0][first].sum(axis=0), (move * self.move).ravel(), emit.ravel()])
+
+    def counted(self, texts: list[np.ndarray], segment: int | None = None, most: int = 1024) -> np.ndarray:
+        """expected() of whole texts of any length and order, `most` segments at a time.
+
+        A segment meets the rest of its text through borders(), so the sums are those of the uncut text.
+        """
+        k, segment = self.emit.shape[1], segment or SEGMENT
+        parts = [x[i : i + segment] for x in texts for i in range(0, len(x), segment)]
+        sizes = np.array([-(-len(x) // segment) for x in texts])
+        ends = np.cumsum(sizes)
+        before, after = np.zeros((len(parts), k)), np.ones((len(parts), k))
+        order = np.argsort([-len(x) for x in parts], kind="stable")
+        cut = np.repeat(sizes > 1, sizes)
+        spans = np.zeros((len(parts), k, k))
+        chosen = order[cut[order]]
+        for i in range(0, len(chosen), most):
+            at = chosen[i : i + most]
+            spans[at] = self.spans([parts[j] for j in at])
+        for lo, hi in zip((ends - sizes)[sizes > 1], ends[sizes > 1], strict=True):
+            before[lo:hi], after[lo:hi] = self.borders(spans[lo:hi])
+        total = np.zeros(k + k * k + self.emit.size)
+        for i in range(0, len(order), most):
+            at = order[i : i + most]
+            total += self.expected([parts[j] for j in at], before[at], after[at])
+        return total
 
 
 def baum_welch(sequences: DataFrame, model: Hmm) -> Hmm:
@@ -213,17 +268,17 @@ def baum_welch(sequences: DataFrame, model: Hmm) -> Hmm:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         waiting: list[np.ndarray] = []
+        tokens = 0
         for batch in batches:
             for raw in batch.column(0):
-                x = np.frombuffer(raw.as_buffer(), np.uint16)
-                waiting += [x[i : i + SEGMENT] for i in range(0, len(x), SEGMENT)]
-            while len(waiting) >= 1024:
-                for part in _batched(waiting[:4096], 1024):
-                    got = model.expected(part)
+                waiting.append(np.frombuffer(raw.as_buffer(), np.uint16))
+                tokens += len(waiting[-1])
+                if tokens >= HELD_TOKENS:
+                    got = model.counted(waiting)
                     total = got if total is None else total + got
-                waiting = waiting[4096:]
-        for part in _batched(waiting, 1024):
-            got = model.expected(part)
+                    waiting, tokens = [], 0
+        if waiting:
+            got = model.counted(waiting)
             total = got if total is None else total + got
         if total is not None:
             at = np.flatnonzero(total)
