@@ -359,3 +359,26 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"), percent=85)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT k, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM texts
+), sizes AS (
+  SELECT k, count(*) AS n FROM shingles GROUP BY k
+), common AS (
+  SELECT a.k AS u, b.k AS v, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.k <> b.k GROUP BY a.k, b.k
+), links AS (
+  SELECT u, v FROM common JOIN sizes x ON x.k = u JOIN sizes y ON y.k = v WHERE 100 * c >= 85 * (x.n + y.n - c)
+), reached AS (
+  SELECT k AS u, k AS v FROM texts UNION SELECT reached.u, links.v FROM reached JOIN links ON reached.v = links.u
+), least AS (
+  SELECT u AS k, min(doc_id) AS component_id FROM reached JOIN texts ON texts.k = reached.v GROUP BY u
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM texts JOIN least USING (k) LEFT JOIN sizes USING (k)
+"""

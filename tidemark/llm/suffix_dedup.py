@@ -337,3 +337,29 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+OP7_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), windows AS (
+  SELECT doc_id, p, array_slice(b, p, p + 99) AS w FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 98)) AS p FROM texts)
+), repeats AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS nth FROM windows) WHERE nth > 1
+), joined AS (
+  SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, true) AS opens FROM repeats
+), numbered AS (
+  SELECT doc_id, p, sum(opens::INTEGER) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM joined
+), spans AS (
+  SELECT doc_id, min(p) AS a, max(p) + 99 AS z FROM numbered GROUP BY doc_id, span
+), gaps AS (
+  SELECT doc_id, coalesce(lag(z) OVER o, 0) + 1 AS a, a - 1 AS z FROM spans WINDOW o AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT t.doc_id, coalesce(max(z), 0) + 1, any_value(octet_length(b)) FROM texts t LEFT JOIN spans s ON s.doc_id = t.doc_id GROUP BY t.doc_id
+), kept AS (
+  SELECT doc_id, unhex(string_agg(hex(array_slice(b, a, z)), '' ORDER BY a)) AS bytes FROM gaps JOIN texts USING (doc_id) WHERE a <= z GROUP BY doc_id
+), cut AS (
+  SELECT doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(coalesce(bytes, ''::BLOB)) AS kept_sha256
+FROM texts LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
