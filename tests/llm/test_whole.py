@@ -102,3 +102,15 @@ def test_training_counts_by_all_paths():
             if t:
                 want[2 + path[t - 1] * 2 + state] += p
     assert model.counted([text], 4) == pytest.approx(want / total)
+
+
+def test_models_of_random_strings_and_identifiers(spark):
+    """Shares of made random strings that are found, and of made identifiers, digits among them, that are left alone."""
+    rng = random.Random(3)
+    words = "user profile page example release version data table index model river mill order item customer report final".split()
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(i, "x " + "".join(rng.choice(signs) for _ in range(rng.choice([16, 20, 32, 40]))) + " y") for i in range(200)]
+    rows += [(1000 + i, "x " + "_".join([*(rng.choice(words) for _ in range(4)), str(rng.randint(1, 2030))]) + " y") for i in range(200)]
+    model = secret_scan.train(secret_scan.training_samples(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    found = {r.doc_id for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect() if r._spans}
+    assert sum(i < 1000 for i in found) >= 196 and sum(i >= 1000 for i in found) <= 20

@@ -24,8 +24,10 @@ RULES = (
 HINTS = {"assign": r"(?i)(?:word|wd|secret|token|key)[\x22']?\x20*[:=]", "access": "AKIA", "hex": r"[0-9a-f]{16}"}
 #: Runs of these characters, of at least this length, are scored by the models.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
-#: Documents that give ordinary samples, at most; and random strings made for the other model.
-SAMPLE_DOCUMENTS, SAMPLE_RANDOM = 2000, 4096
+#: Ordinary samples, from all documents; those long enough to be secrets count only without a digit.
+ORDINARY, LONG = r"[A-Za-z0-9_-]{4,}", 16
+#: Random strings of each form made for the other model.
+SAMPLE_RANDOM = 4096
 #: Natural-log ratio from which a run counts as random, in all and for each character.
 RATIO, RATIO_EACH = 12.0, 0.6
 #: Characters of the models: digits, letters, and the five others of CANDIDATE.
@@ -78,35 +80,35 @@ def _codes(text: Column) -> Column:
     return F.transform(F.split(text, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
 
 
-def training_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = SAMPLE_DOCUMENTS, made: int = SAMPLE_RANDOM) -> DataFrame:
-    """Labelled samples (sample, random boolean): ordinary identifiers and random strings.
+def training_samples(docs: DataFrame, text_col: str = "text", made: int = SAMPLE_RANDOM) -> DataFrame:
+    """Labelled samples: sample, random (boolean), n (how often it occurs).
 
-    Ordinary: runs of 4 or more letters, _ and - in at most `documents` documents, those whose id hashes lowest (a
-    documented bound; the models have a fixed number of parameters). Random: `made` each of hexadecimal, base64 and
-    upper-case base32-like strings derived from SHA-256.
+    Ordinary: runs of 4 or more letters, digits, _ and - in all documents, but for those of 16 or more that hold a digit,
+    which may be secrets themselves. Random: `made` each of hexadecimal, base64 and upper-case base32-like strings
+    derived from SHA-256. Null and empty texts give none.
     """
-    ids = docs.select(F.col(id_col).alias("i")).where("i IS NOT NULL").distinct().orderBy(F.xxhash64("i"), "i").limit(documents)
-    chosen = docs.join(F.broadcast(ids), F.col(id_col) == F.col("i"), "left_semi")
-    runs = F.regexp_extract_all(F.col(text_col), F.lit(r"[A-Za-z_-]{4,}"), F.lit(0))
-    ordinary = chosen.select(F.explode(runs).alias("sample"), F.lit(False).alias("random"))
+    runs = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(ORDINARY), F.lit(0))).alias("sample"))
+    ordinary = runs.groupBy("sample").agg(F.count("*").alias("n"))
+    ordinary = ordinary.where((F.length("sample") < LONG) | ~F.col("sample").rlike("[0-9]")).select("sample", F.lit(False).alias("random"), "n")
     digest = F.sha2(F.col("id").cast("string"), 256)
     forms = F.array(F.substring(digest, 1, 40), F.regexp_replace(F.base64(F.unhex(digest)), "=", ""), F.substring(F.upper(F.translate(digest, "0123456789", "GHJKLMNPQR")), 1, 20), F.upper(F.translate(F.substring(digest, 9, 20), "01abc", "XYZ89")))
-    random = docs.sparkSession.range(made).select(F.explode(forms).alias("sample"), F.lit(True).alias("random"))
+    random = docs.sparkSession.range(made).select(F.explode(forms).alias("sample"), F.lit(True).alias("random"), F.lit(1).cast("long").alias("n"))
     return ordinary.union(random)
 
 
 def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratios of character pairs, random against ordinary, by place in ALPHABET; add-one smoothed.
 
+    samples: sample, random, n (its weight).
     What reaches the driver is one row for each pair of characters and label: a fixed number.
     """
     k = len(ALPHABET)
     codes = _codes(F.col("sample"))
     pair = F.zip_with(F.slice(F.col("c"), 1, F.size("c") - 1), F.slice(F.col("c"), 2, F.greatest(F.size("c") - 1, F.lit(0))), lambda a, b: a * k + b)
-    counted = samples.where(F.length("sample") > 1).select(codes.alias("c"), "random").select("random", F.explode(pair).alias("pair")).groupBy("random", "pair").count()
+    counted = samples.where(F.length("sample") > 1).select(codes.alias("c"), "random", "n").select("random", "n", F.explode(pair).alias("pair")).groupBy("random", "pair").agg(F.sum("n").alias("n"))
     counts = {True: [0] * (k * k), False: [0] * (k * k)}
     for row in counted.collect():
-        counts[row["random"]][row["pair"]] = row["count"]
+        counts[row["random"]][row["pair"]] = row["n"]
     logs = {}
     for label, c in counts.items():
         row_sums = [sum(c[a * k : (a + 1) * k]) for a in range(k)]
