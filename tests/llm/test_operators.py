@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import bpe, hmm_score, itq_dedup, near_dedup, paragraph_dedup, quality, secret_scan, source_mix, suffix_dedup, topk_search
@@ -222,3 +223,50 @@ def test_suffix_dedup_of_anchors_that_fill_many_shards(spark):
     rows = [(i, f"{rng.random()}" * rng.randint(0, 3) + units[i % 3] * (20_000 // (i + 1)) + units[(i + 1) % 3][: rng.randint(0, 130)] * rng.randint(1, 200)) for i in range(12)]
     got = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in suffix_dedup.without_repeats(frame(spark, rows)).collect()}
     assert got == removed_by_brute_force(rows)
+
+
+def test_suffix_dedup_merges_runs_of_shards():
+    rng = random.Random(9)
+    stock = [bytes(rng.choice((0, 1, 65, 128, 255)) for _ in range(100)) for _ in range(40)]
+    want, batches = {}, []
+    for doc in range(30):
+        texts = sorted({rng.choice(stock) for _ in range(12)})
+        data, start, text, first = suffix_dedup.survivors(texts)
+        assert [bytes(data[p : p + 100]) for p in first] == texts
+        th, at = rng.randint(-5, 5), rng.randint(0, 10**12)
+        for t in texts:
+            want[t] = min(want.get(t, (99, 0, 0)), (doc % 7, th, at))
+        places = [np.full(len(first), doc % 7), np.full(len(first), th, np.int32), np.full(len(first), at)]
+        batches += list(suffix_dedup.bucketed(data, first, tuple(places), 3))
+    rows = sorted((r for b in batches for r in b.select(["bucket", "prefixes", "docs", "ths", "ats"]).to_pylist()), key=lambda r: r["bucket"])
+    assert len({r["bucket"] for r in rows}) == 3
+    schema = pa.schema([("bucket", pa.int64()), ("prefixes", pa.binary()), ("docs", pa.list_(pa.int64())), ("ths", pa.list_(pa.int32())), ("ats", pa.list_(pa.int64()))])
+    cut = [pa.RecordBatch.from_pylist(rows[k : k + 7], schema) for k in range(0, len(rows), 7)]
+    got = [tuple(r.values()) for b in suffix_dedup._merge(iter(cut)) for r in b.to_pylist()]
+    assert sorted(got) == sorted((*p, 1) for p in want.values())
+
+
+def test_suffix_dedup_splits_one_group_over_shards(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD", 1000)
+    rng = random.Random(10)
+    pieces = sorted((doc, 0, doc * 3, bytes(rng.choice(b"ab\xff") for _ in range(rng.randint(1, 4))) * 40 + b"c" * 100) for doc in range(60))
+    pieces = [(d, t, a, raw[-130:]) for d, t, a, raw in pieces]
+    names = ["h", "salt", "doc", "th", "at", "bytes"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+    for salts in (1, 4):
+        rows = sorted((5, 0 if salts == 1 else 1 + i % salts, *p) for i, p in enumerate(pieces))
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        out = [r for b in suffix_dedup._shards(2)(iter([batch])) for r in b.to_pylist()]
+        alive = {(r["doc"], r["at"] + k) for r in out if r["bucket"] is None for k in range(64) if r["alive"] >> k & 1}
+        runs = sorted((r for r in out if r["bucket"] is not None), key=lambda r: r["bucket"])
+        assert len(runs) > 2
+        schema = pa.schema([("bucket", pa.int64()), ("prefixes", pa.binary()), ("docs", pa.list_(pa.int64())), ("ths", pa.list_(pa.int32())), ("ats", pa.list_(pa.int64()))])
+        cut = pa.RecordBatch.from_pylist([{c: r[c] for c in schema.names} for r in runs], schema)
+        alive |= {(r["doc"], r["at"]) for b in suffix_dedup._merge(iter([cut])) for r in b.to_pylist()}
+        want, seen = set(), set()
+        for doc, _, at, raw in pieces:
+            for k in range(len(raw) - 99):
+                if raw[k : k + 100] not in seen:
+                    seen.add(raw[k : k + 100])
+                    want.add((doc, at + k))
+        assert alive == want

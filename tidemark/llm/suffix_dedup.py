@@ -5,8 +5,9 @@
 2. Shards: runs of windows whose anchor may repeat go, with their bytes, to the shard of that hash. A shard builds the
    suffix array of its distinct pieces by Larsson-Sadakane refinement, and Kasai's recursion gives its windows' prefixes;
    suffixes that share 100 bytes are one group, and all but its earliest member are repeats.
-3. Merging: a hash with more than its part of the runs that may repeat is spread over many shards. Their survivors' prefixes, sorted,
-   are merged by binary search, which leaves the earliest of each prefix.
+3. Merging: a hash with more than its part of the runs that may repeat is spread over many shards. Each sends on its
+   survivors as it has them, in the order of its suffix array and cut into buckets by a hash of their 100 bytes. A bucket's
+   runs, one from each shard, are merged by binary search of one in the other, which leaves the earliest of each prefix.
 4. Removal: windows that may repeat, less the survivors, are the repeats; the bytes they cover are cut.
 """
 
@@ -21,12 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.anchors import WINDOW, runs
-from tidemark.llm.common import byte_view, materialize, partitions, pieces, release, table
+from tidemark.llm.common import byte_view, materialize, mix64, partitions, pieces, release, table
 
 #: Bits of the filter (16 MB), whatever the corpus; bytes of a shard; bytes of text handled at once.
 FILTER_BITS, SHARD, PIECE = 27, 1 << 19, 1 << 18
 #: A hash with more than this part of all runs that may repeat is spread over shards; so at most its inverse are.
 HOT = 1e-4
+#: Windows of a bucket of the merge, about, and of a run cut into buckets at once.
+BUCKET, CHUNK = 1 << 16, 1 << 15
+#: An anchor's hash with fewer runs than these can't fill more than a shard.
+FEW = 2 * SHARD // (2 * WINDOW)
 
 
 def _refine(symbols: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -103,9 +108,9 @@ def _kasai(data: np.ndarray, sa: np.ndarray, start: np.ndarray, size: np.ndarray
     return common
 
 
-def survivors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of distinct texts in order of place, laid end to end: where each starts, which windows no earlier text holds by
-    place, and by text, the first window in the lowest bit.
+def survivors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct texts in order of place, laid end to end: their bytes; where each starts; the text of each byte; and
+    which windows no earlier text holds, in the order of the suffix array, that of their 100 bytes.
     """
     data = np.frombuffer(b"".join(texts), np.uint8)
     size = np.array([len(t) for t in texts], np.int64)
@@ -114,13 +119,9 @@ def survivors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     end = (start + size)[text]
     sa = _refine(data.astype(np.int16) + 1, end)
     common = _kasai(data, sa, start, size, end)
-    window = end - np.arange(len(data)) >= WINDOW
-    pos = sa[window[sa]]
-    alive = np.zeros(len(data), bool)
-    if len(pos):
-        alive[np.minimum.reduceat(pos, np.flatnonzero(common[pos] < WINDOW))] = True
-    place = np.minimum(np.arange(len(data)) - start[text], 63).astype(np.uint64)  # windows lie below 64
-    return start, alive, np.add.reduceat(alive.astype(np.uint64) << place, start)
+    pos = sa[(end - np.arange(len(data)) >= WINDOW)[sa]]
+    first = np.minimum.reduceat(pos, np.flatnonzero(common[pos] < WINDOW)) if len(pos) else pos
+    return data, start, text, first
 
 
 def _hashes(docs: DataFrame) -> DataFrame:
@@ -199,79 +200,135 @@ def _pieces(docs: DataFrame, words, hot: dict[int, int]) -> DataFrame:
     return docs.mapInArrow(run, "h long, salt int, doc long, th int, at long, bytes binary")
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows doc, th, at, alive (flags of windows from at on), prefix (null; else these 100 bytes' digest is to be merged)."""
-    names = ["doc", "th", "at", "alive", "prefix"]
+#: What shards emit: survivors that are settled (flags of windows from at on), or a run of those that are to be merged.
+_SHARD_SCHEMA = "doc long, th int, at long, alive long, bucket long, prefixes binary, docs array<bigint>, ths array<int>, ats array<bigint>"
+_SHARD_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+_SHARD_NAMES = ["doc", "th", "at", "alive", "bucket", "prefixes", "docs", "ths", "ats"]
 
-    def solve(held: list[tuple], split: list[bool]) -> pa.RecordBatch:
-        rows = []
+
+def _batch(some: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([some[c].cast(t) if c in some else pa.nulls(n, t) for c, t in zip(_SHARD_NAMES, _SHARD_TYPES, strict=True)], _SHARD_NAMES)
+
+
+def bucketed(data: np.ndarray, pos: np.ndarray, places: tuple[np.ndarray, ...], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The windows at pos, which are in the order of their bytes, with their places: a run in that order for each bucket."""
+    for lo in range(0, len(pos), CHUNK):
+        own = pos[lo : lo + CHUNK]
+        prefix = np.zeros((len(own), -(-WINDOW // 8) * 8), np.uint8)
+        prefix[:, :WINDOW] = data[own[:, None] + np.arange(WINDOW)]
+        key = np.zeros(len(own), np.uint64)
+        for word in prefix.view(np.uint64).T:
+            key = mix64(key ^ word)
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]).astype(np.int32)
+        raw = pa.py_buffer(np.ascontiguousarray(prefix[order, :WINDOW]))
+        lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x[lo : lo + CHUNK][order])) for x in places]
+        prefixes = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(cut * np.int32(WINDOW)), raw])
+        yield _batch({"bucket": pa.array(bucket[cut[:-1]]), "prefixes": prefixes} | dict(zip(("docs", "ths", "ats"), lists, strict=True)), len(cut) - 1)
+
+
+def _shards(buckets: int):
+    """Streams the pieces sorted by (h, salt, doc, th, at) to _SHARD_SCHEMA."""
+    def solve(held: list[tuple], split: list[bool]) -> Iterator[pa.RecordBatch]:
         # the parts of a hot hash that meet here hold equal windows, so texts must stand in order of place
         order = sorted(range(len(held)), key=lambda i: held[i][:3])
-        held, split = [held[i] for i in order], [split[i] for i in order]
-        start, alive, flags = survivors([x[3] for x in held])
-        for (doc, th, at, raw), a, f, s in zip(held, start.tolist(), flags.tolist(), split, strict=True):
-            if not s:
-                if f:
-                    rows.append((doc, th, at, f, None))
-            else:
-                rows += [(doc, th, at + int(k), 1, hashlib.blake2b(raw[k : k + WINDOW], digest_size=16).digest()) for k in np.flatnonzero(alive[a : a + len(raw) - WINDOW + 1])]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.uint64(), pa.binary())
-        arrays = [pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)]
-        arrays[3] = pa.array(arrays[3].to_numpy().view(np.int64)) if rows else pa.array([], pa.int64())
-        return pa.RecordBatch.from_arrays(arrays, names)
-
-    held, split, size = [], [], 0
-    group, seen, mark = None, set(), False
-    for batch in batches:
-        for h, salt, doc, th, at, raw in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if (h, salt) != group:
-                if size >= SHARD:
-                    yield solve(held, split)
-                    held, split, size = [], [], 0
-                group, seen, mark = (h, salt), set(), salt > 0
-            if raw in seen:
-                continue
-            if size >= 2 * SHARD:
-                # one group fills more than a shard: its parts are merged like those of a hot hash
-                own = len(seen)
-                split[len(split) - own :] = [True] * own
-                yield solve(held, split)
-                held, split, size, seen, mark = [], [], 0, set(), True
-            seen.add(raw)
-            held.append((doc, th, at, raw))
-            split.append(mark)
-            size += len(raw)
-    if held:
-        yield solve(held, split)
+        held, merge = [held[i] for i in order], np.array([split[i] for i in order], bool)
+        doc, th, at = (np.array([x[k] for x in held], t) for k, t in enumerate((np.int64, np.int32, np.int64)))
+        data, start, text, first = survivors([x[3] for x in held])
+        later = merge[text[first]]
+        now = first[~later]
+        flags = np.zeros(len(held), np.uint64)  # the first window in the lowest bit; windows lie below 64
+        np.bitwise_or.at(flags, text[now], np.uint64(1) << (now - start[text[now]]).astype(np.uint64))
+        some = np.flatnonzero(flags)
+        yield _batch({"doc": pa.array(doc[some]), "th": pa.array(th[some]), "at": pa.array(at[some]), "alive": pa.array(flags[some].view(np.int64))}, len(some))
+        pos = first[later]
+        t = text[pos]
+        yield from bucketed(data, pos, (doc[t], th[t], at[t] + pos - start[t]), buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, split, size = [], [], 0
+        group, seen, mark = None, set(), False
+        for batch in batches:
+            for h, salt, doc, th, at, raw in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if (h, salt) != group:
+                    if size >= SHARD:
+                        yield from solve(held, split)
+                        held, split, size = [], [], 0
+                    group, seen, mark = (h, salt), set(), salt > 0
+                if raw in seen:
+                    continue
+                if size >= 2 * SHARD:
+                    # one group fills more than a shard: its parts are merged like those of a hot hash
+                    own = len(seen)
+                    split[len(split) - own :] = [True] * own
+                    yield from solve(held, split)
+                    held, split, size, seen, mark = [], [], 0, set(), True
+                seen.add(raw)
+                held.append((doc, th, at, raw))
+                split.append(mark)
+                size += len(raw)
+        if held:
+            yield from solve(held, split)
+
+    return run
+
+
+#: A run to be merged: its prefixes, ascending, and the place of each.
+Run = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def merged(a: Run, b: Run) -> Run:
+    """Both runs in one, each prefix once, by its earliest place: those of the shorter are searched in the longer."""
+    if len(a[0]) < len(b[0]):
+        a, b = b, a
+    at = np.searchsorted(a[0], b[0])
+    hit = a[0][np.minimum(at, len(a[0]) - 1)] == b[0]
+    i, j = at[hit], np.flatnonzero(hit)
+    earlier = np.zeros(len(i), bool)
+    for x, y in zip(a[:0:-1], b[:0:-1], strict=True):
+        earlier = (y[j] < x[i]) | ((y[j] == x[i]) & earlier)
+    for x, y in zip(a[1:], b[1:], strict=True):
+        x[i[earlier]] = y[j[earlier]]
+    return tuple(np.insert(x, at[~hit], y[~hit]) for x, y in zip(a, b, strict=True))
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams survivors sorted by (p, prefix, doc, th, at); keeps the first of each prefix.
+    """Streams runs (bucket, prefixes, docs, ths, ats) sorted by bucket; emits the earliest place of each prefix.
 
-    Within a batch the distinct prefixes are a sorted run and each prefix's first row is found by binary search.
+    Runs wait on a stack and are merged with those of their size, so a bucket's windows move as often as its runs' number
+    has digits, and what is held is its distinct prefixes, not all copies.
     """
-    last = None
+    def done(stack: list[Run]) -> pa.RecordBatch:
+        while len(stack) > 1:
+            stack.append(merged(stack.pop(), stack.pop()))
+        _, doc, th, at = stack[0]
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array(at), pa.array(np.ones(len(doc), np.int64))], ["doc", "th", "at", "alive"])
+
+    stack, bucket = [], None
     for batch in batches:
-        prefix = np.array(batch.column(4).to_pylist(), dtype="S32")
-        if not len(prefix):
-            continue
-        distinct = prefix[np.r_[True, prefix[1:] != prefix[:-1]]]
-        first = np.searchsorted(prefix, distinct, side="left")
-        if distinct[0] == last:
-            first = first[1:]
-        last = prefix[-1]
-        yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(first)) for i in range(4)], ["doc", "th", "at", "alive"])
-
-
-def alive_windows(docs: DataFrame, words, hot: dict[int, int]) -> DataFrame:
+        for i, b in enumerate(batch.column(0).to_pylist()):
+            if b != bucket and stack:
+                yield done(stack)
+                stack = []
+            bucket = b
+            prefix = np.frombuffer(batch.column(1)[i].as_buffer(), f"S{WINDOW}")
+            stack.append((prefix, *(batch.column(k)[i].values.to_numpy(zero_copy_only=False).copy() for k in (2, 3, 4))))
+            while len(stack) > 1 and len(stack[-2][0]) <= 2 * len(stack[-1][0]):
+                stack.append(merged(stack.pop(), stack.pop()))
+    if stack:
+        yield done(stack)
+
+
+def alive_windows(docs: DataFrame, words, hot: dict[int, int], buckets: int) -> DataFrame:
     """doc, th, at, alive: of the windows that may repeat, those that start nowhere earlier."""
     cut = _pieces(docs, words, hot)
     dealt = cut.repartition(partitions(cut), "h", "salt").sortWithinPartitions("h", "salt", "doc", "th", "at")
-    found = materialize(dealt.mapInArrow(_shards, "doc long, th int, at long, alive long, prefix binary"), "alive")
-    parts = found.where("prefix IS NOT NULL").select("doc", "th", "at", "alive", F.hex("prefix").alias("prefix"))
-    best = parts.repartition(partitions(parts), "prefix").sortWithinPartitions("prefix", "doc", "th", "at")
-    return found.where("prefix IS NULL").drop("prefix").union(best.mapInArrow(_merge, "doc long, th int, at long, alive long"))
+    found = materialize(dealt.mapInArrow(_shards(buckets), _SHARD_SCHEMA), "alive")
+    parts = found.where("bucket IS NOT NULL").select("bucket", "prefixes", "docs", "ths", "ats")
+    runs_of = parts.repartition(partitions(parts), "bucket").sortWithinPartitions("bucket")
+    return found.where("bucket IS NULL").select("doc", "th", "at", "alive").union(runs_of.mapInArrow(_merge, "doc long, th int, at long, alive long"))
 
 
 def _cut(words):
@@ -327,8 +384,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     loads = materialize(_loads(slim, words), "loads")
     share = max(loads.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0] * HOT, 1000.0)
     hot = {r["h"]: int(-(-r["c"] // share)) for r in loads.where(F.col("c") > share).collect()}  # at most 1 / HOT rows
+    # what may be merged: at most 64 windows of each run of a hash that is hot or may fill more than a shard
+    many = loads.where(F.col("c") > min(share, FEW)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0] * 64
     release(loads)
-    alive = alive_windows(slim.select("doc", "th", "text"), words, hot)
+    alive = alive_windows(slim.select("doc", "th", "text"), words, hot, max(-(-many // BUCKET), partitions(slim)))
     lists = alive.groupBy("doc", "th").agg(F.collect_list("at").alias("places"), F.collect_list("alive").alias("flags"))  # at most a document's windows
     joined = slim.join(lists, ["doc", "th"], "left").select("id", "text", "places", "flags")
     kind = docs.schema[id_col].dataType.simpleString()
