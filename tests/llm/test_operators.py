@@ -228,7 +228,7 @@ def test_suffix_dedup_of_anchors_that_fill_many_shards(spark):
 def test_suffix_dedup_merges_runs_of_shards():
     rng = random.Random(9)
     stock = [bytes(rng.choice((0, 1, 65, 128, 255)) for _ in range(100)) for _ in range(40)]
-    want, batches = {}, []
+    want, all_of, batches = {}, set(), []
     for doc in range(30):
         texts = sorted({rng.choice(stock) for _ in range(12)})
         data, start, text, first = suffix_dedup.survivors(texts)
@@ -236,14 +236,15 @@ def test_suffix_dedup_merges_runs_of_shards():
         th, at = rng.randint(-5, 5), rng.randint(0, 10**12)
         for t in texts:
             want[t] = min(want.get(t, (99, 0, 0)), (doc % 7, th, at))
+            all_of.add((t, doc % 7, th, at))
         places = [np.full(len(first), doc % 7), np.full(len(first), th, np.int32), np.full(len(first), at)]
         batches += list(suffix_dedup.bucketed(data, first, tuple(places), 3))
     rows = sorted((r for b in batches for r in b.select(["bucket", "prefixes", "docs", "ths", "ats"]).to_pylist()), key=lambda r: r["bucket"])
     assert len({r["bucket"] for r in rows}) == 3
     schema = pa.schema([("bucket", pa.int64()), ("prefixes", pa.binary()), ("docs", pa.list_(pa.int64())), ("ths", pa.list_(pa.int32())), ("ats", pa.list_(pa.int64()))])
     cut = [pa.RecordBatch.from_pylist(rows[k : k + 7], schema) for k in range(0, len(rows), 7)]
-    got = [tuple(r.values()) for b in suffix_dedup._merge(iter(cut)) for r in b.to_pylist()]
-    assert sorted(got) == sorted((*p, 1) for p in want.values())
+    lost = [tuple(r.values()) for b in suffix_dedup._merge(iter(cut)) for r in b.to_pylist()]
+    assert sorted(lost) == sorted((*p, 0) for t, *p in all_of if tuple(p) != want[t])
 
 
 def test_suffix_dedup_splits_one_group_over_shards(monkeypatch):
@@ -262,7 +263,9 @@ def test_suffix_dedup_splits_one_group_over_shards(monkeypatch):
         assert len(runs) > 2
         schema = pa.schema([("bucket", pa.int64()), ("prefixes", pa.binary()), ("docs", pa.list_(pa.int64())), ("ths", pa.list_(pa.int32())), ("ats", pa.list_(pa.int64()))])
         cut = pa.RecordBatch.from_pylist([{c: r[c] for c in schema.names} for r in runs], schema)
-        alive |= {(r["doc"], r["at"]) for b in suffix_dedup._merge(iter([cut])) for r in b.to_pylist()}
+        lost = [(r["doc"], r["at"]) for b in suffix_dedup._merge(iter([cut])) for r in b.to_pylist()]
+        assert lost and len(set(lost)) == len(lost) and alive.issuperset(lost)
+        alive -= set(lost)
         want, seen = set(), set()
         for doc, _, at, raw in pieces:
             for k in range(len(raw) - 99):

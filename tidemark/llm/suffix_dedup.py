@@ -7,8 +7,9 @@
    suffixes that share 100 bytes are one group, and all but its earliest member are repeats.
 3. Merging: a hash with more than its part of the runs that may repeat is spread over many shards. Each sends on its
    survivors as it has them, in the order of its suffix array and cut into buckets by a hash of their 100 bytes. A bucket's
-   runs, one from each shard, are merged by binary search of one in the other, which leaves the earliest of each prefix.
-4. Removal: windows that may repeat, less the survivors, are the repeats; the bytes they cover are cut.
+   runs, one from each shard, are merged by binary search of one in the other; all but the earliest of a prefix are lost.
+4. Removal: windows that may repeat, less the survivors that the merge doesn't lose, are the repeats; the bytes they cover
+   are cut.
 """
 
 from __future__ import annotations
@@ -200,7 +201,7 @@ def _pieces(docs: DataFrame, words, hot: dict[int, int]) -> DataFrame:
     return docs.mapInArrow(run, "h long, salt int, doc long, th int, at long, bytes binary")
 
 
-#: What shards emit: survivors that are settled (flags of windows from at on), or a run of those that are to be merged.
+#: What shards emit: survivors (flags of windows from at on, never 0), and runs of those that are to be merged.
 _SHARD_SCHEMA = "doc long, th int, at long, alive long, bucket long, prefixes binary, docs array<bigint>, ths array<int>, ats array<bigint>"
 _SHARD_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
 _SHARD_NAMES = ["doc", "th", "at", "alive", "bucket", "prefixes", "docs", "ths", "ats"]
@@ -238,9 +239,8 @@ def _shards(buckets: int):
         doc, th, at = (np.array([x[k] for x in held], t) for k, t in enumerate((np.int64, np.int32, np.int64)))
         data, start, text, first = survivors([x[3] for x in held])
         later = merge[text[first]]
-        now = first[~later]
         flags = np.zeros(len(held), np.uint64)  # the first window in the lowest bit; windows lie below 64
-        np.bitwise_or.at(flags, text[now], np.uint64(1) << (now - start[text[now]]).astype(np.uint64))
+        np.add.at(flags, text[first], np.uint64(1) << (first - start[text[first]]).astype(np.uint64))
         some = np.flatnonzero(flags)
         yield _batch({"doc": pa.array(doc[some]), "th": pa.array(th[some]), "at": pa.array(at[some]), "alive": pa.array(flags[some].view(np.int64))}, len(some))
         pos = first[later]
@@ -279,50 +279,56 @@ def _shards(buckets: int):
 Run = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def merged(a: Run, b: Run) -> Run:
-    """Both runs in one, each prefix once, by its earliest place: those of the shorter are searched in the longer."""
+def merged(a: Run, b: Run) -> tuple[Run, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Both runs in one, each prefix once, by its earliest place, and the later places that it loses.
+
+    The prefixes of the shorter run are searched in the longer. A place that is in both is kept once and not lost.
+    """
     if len(a[0]) < len(b[0]):
         a, b = b, a
     at = np.searchsorted(a[0], b[0])
     hit = a[0][np.minimum(at, len(a[0]) - 1)] == b[0]
     i, j = at[hit], np.flatnonzero(hit)
-    earlier = np.zeros(len(i), bool)
+    earlier, same = np.zeros(len(i), bool), np.ones(len(i), bool)
     for x, y in zip(a[:0:-1], b[:0:-1], strict=True):
         earlier = (y[j] < x[i]) | ((y[j] == x[i]) & earlier)
+        same &= y[j] == x[i]
+    lost = tuple(np.where(earlier, x[i], y[j])[~same] for x, y in zip(a[1:], b[1:], strict=True))
     for x, y in zip(a[1:], b[1:], strict=True):
         x[i[earlier]] = y[j[earlier]]
-    return tuple(np.insert(x, at[~hit], y[~hit]) for x, y in zip(a, b, strict=True))
+    return tuple(np.insert(x, at[~hit], y[~hit]) for x, y in zip(a, b, strict=True)), lost
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams runs (bucket, prefixes, docs, ths, ats) sorted by bucket; emits the earliest place of each prefix.
+    """Streams runs (bucket, prefixes, docs, ths, ats) sorted by bucket; emits all places of a prefix but the earliest.
 
     Runs wait on a stack and are merged with those of their size, so a bucket's windows move as often as its runs' number
     has digits, and what is held is its distinct prefixes, not all copies.
     """
-    def done(stack: list[Run]) -> pa.RecordBatch:
-        while len(stack) > 1:
-            stack.append(merged(stack.pop(), stack.pop()))
-        _, doc, th, at = stack[0]
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array(at), pa.array(np.ones(len(doc), np.int64))], ["doc", "th", "at", "alive"])
+    def fold(stack: list[Run], most: int) -> Iterator[pa.RecordBatch]:
+        while len(stack) > 1 and len(stack[-2][0]) <= most * len(stack[-1][0]):
+            run, (doc, th, at) = merged(stack.pop(), stack.pop())
+            stack.append(run)
+            if len(doc):
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array(at), pa.array(np.zeros(len(doc), np.int64))], ["doc", "th", "at", "alive"])
 
     stack, bucket = [], None
     for batch in batches:
         for i, b in enumerate(batch.column(0).to_pylist()):
-            if b != bucket and stack:
-                yield done(stack)
-                stack = []
-            bucket = b
+            if b != bucket:
+                yield from fold(stack, 1 << 60)
+                stack, bucket = [], b
             prefix = np.frombuffer(batch.column(1)[i].as_buffer(), f"S{WINDOW}")
             stack.append((prefix, *(batch.column(k)[i].values.to_numpy(zero_copy_only=False).copy() for k in (2, 3, 4))))
-            while len(stack) > 1 and len(stack[-2][0]) <= 2 * len(stack[-1][0]):
-                stack.append(merged(stack.pop(), stack.pop()))
-    if stack:
-        yield done(stack)
+            yield from fold(stack, 2)
+    yield from fold(stack, 1 << 60)
 
 
 def alive_windows(docs: DataFrame, words, hot: dict[int, int], buckets: int) -> DataFrame:
-    """doc, th, at, alive: of the windows that may repeat, those that start nowhere earlier."""
+    """doc, th, at, alive: of the windows that may repeat, those that start nowhere earlier.
+
+    alive flags windows from at on; a row where it is 0 takes back the window at this place.
+    """
     cut = _pieces(docs, words, hot)
     dealt = cut.repartition(partitions(cut), "h", "salt").sortWithinPartitions("h", "salt", "doc", "th", "at")
     found = materialize(dealt.mapInArrow(_shards(buckets), _SHARD_SCHEMA), "alive")
@@ -349,9 +355,11 @@ def _cut(words):
                     places, flags = batch.column(2)[i].values, batch.column(3)[i].values
                     if places is None or not len(places):
                         continue
-                    bits = (flags.to_numpy().view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1) == 1
+                    places, flags = places.to_numpy(), flags.to_numpy()
+                    bits = (flags.view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1) == 1
                     r, c = np.nonzero(bits)
-                    repeat[own[i - lo] + places.to_numpy()[r] + c] = False
+                    repeat[own[i - lo] + places[r] + c] = False
+                    repeat[own[i - lo] + places[flags == 0]] = True
                 at = np.flatnonzero(repeat)
                 steps[:] = 0
                 np.add.at(steps, at, 1)
