@@ -9,7 +9,7 @@ from tidemark import queries
 
 SF = "/root/testdata/sf0.001"
 #: The smallest tables have too few names a date for these, which would compare nothing.
-CROSS_SECTIONS = {"ic_series", "ic_summary", "ic_by_year", "hac_significance", "rolling_ic", "walk_forward_folds", "walk_forward_summary", "ic_decay", "decay_peak", "ic_by_group", "marginal_ic", "top_group_excess"}
+CROSS_SECTIONS = {"ic_series", "ic_summary", "ic_by_year", "hac_significance", "rolling_ic", "walk_forward_folds", "walk_forward_summary", "ic_decay", "decay_peak", "ic_by_group", "marginal_ic", "top_group_excess", "factor_statuses", "stability_scores", "marginal_ic_of_many"}
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 

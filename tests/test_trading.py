@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators import holdings as H
+from tidemark.operators import lifecycle as L
 from tidemark.operators import portfolio as P
 from tidemark.plans import catalog
 from tidemark.sources import tables
@@ -91,3 +93,37 @@ def test_event_stream(spark, tmp_path):
     got = {(r.start, r.event_type): (r.n, r.total) for r in spark.table("totals").collect()}
     every = events.windowed_totals(spark.read.schema(schema).parquet(f"{tmp_path}/in").dropDuplicates(["event_id"]))
     assert got and all(n > 0 for n, _ in got.values()) and len(got) <= every.count()
+
+
+def test_spells_and_trades(spark):
+    held = [(0, "a"), (0, "b"), (1, "a"), (2, "b"), (3, "b")]
+    members = spark.createDataFrame([(D[i], k) for i, k in held], "date date, instrument string")
+    got = {(r.instrument, r.entry, r.exit) for r in H.spells(members.union(members)).collect()}
+    assert got == {("a", D[0], D[2]), ("b", D[0], D[1]), ("b", D[2], None)}
+    rows = [(D[i], k, p, v, up, False) for i, k, p, v, up in [(0, "a", 10.0, 1.0, False), (2, "a", 12.0, 1.0, False), (0, "b", 5.0, 0.0, True), (1, "b", 4.0, None, False), (2, "b", None, 1.0, False), (3, "b", 1.0, 1.0, False)]]
+    panel = spark.createDataFrame(rows, "date date, instrument string, close double, vol double, limit_up boolean, limit_down boolean")
+    changed = {r.date: (r.held, r.bought, r.sold, r.executable) for r in H.changes(members, panel).collect()}
+    assert changed == {D[0]: (2, 2, 0, 1), D[1]: (1, 0, 1, 1), D[2]: (1, 1, 1, 2), D[3]: (1, 0, 0, 0)}
+    r = H.trading_statistics(members, panel, "close", 4.0, 0.0, 0.0).first()
+    assert (r.held, r.changes, r.trades, r.hold_days, r.win_rate, r.turnover, r.invested) == (1.25, 5, 2, 2.5, 0.5, pytest.approx(5 / 1.25), 1.0)
+    assert (r.mean_gain, r.mean_loss, r.mean_return, r.executable) == (pytest.approx(0.2), pytest.approx(-0.2), pytest.approx(0.0), pytest.approx(4 / 5))
+    assert r.suspended == pytest.approx(2 / 5)  # b on the first date, and a on the second, where it has no row
+    none = H.trading_statistics(members.limit(0), panel.limit(0), "close", 4.0).first()
+    assert set(none.asDict().values()) == {0}
+
+
+def test_status_rules(spark):
+    rows = [(True, 0.2, 0.2, 0.7), (False, 0.2, 0.2, 0.9), (True, 0.2, 0.09, 0.9), (True, 0.3, -0.2, 0.9), (True, 0.3, 0.01, 0.9), (True, None, 0.2, 0.9), (True, 0.2, 0.2, None), (None, 0.2, 0.2, 0.9)]
+    df = spark.createDataFrame(rows, "ok boolean, i double, o double, c double").coalesce(1)
+    got = [tuple(r) for r in df.select(L.candidate_status(F.col("ok"), F.col("o"), F.col("c")), L.historical_status(F.col("ok"), F.col("i"), F.col("o"), F.col("c"))).collect()]
+    assert got == [("candidate", "candidate"), ("draft", "draft"), ("draft", "draft"), ("candidate", "deprecated"), ("draft", "deprecated"), ("candidate", "draft"), ("draft", "draft"), ("draft", "draft")]
+    sides = spark.createDataFrame([("long", 0.1, 1.5), ("Short ", -0.1, -1.5), ("short", 0.1, -1.5), ("inverse", -0.1, -1.5), ("long", None, 1.5), ("long", 0.1, 1.0)], "s string, i double, l double").coalesce(1)
+    assert [r[0] for r in sides.select(L.aligned_pass(F.col("s"), F.col("i"), F.col("l"))).collect()] == [True, True, False, False, False, False]
+
+
+def test_marginal_picks():
+    metrics = {"a": ("x", 0.5), "b": ("x", -0.49), "c": ("y", 0.3), "d": ("y", 0.2), "e": ("z", 0.01)}
+    rho = {("a", "b"): 0.9, ("a", "c"): 0.1, ("c", "d"): 0.2}
+    assert [f for f, _ in L.select_marginal(metrics, rho, {}, 0.1)] == ["a", "c", "d"]
+    assert [f for f, _ in L.select_marginal(metrics, rho, {"y": 1}, 0.02)] == ["a", "c", "b"]
+    assert [f for f, _ in L.select_marginal({"e": ("z", 0.01)}, {}, {}, 0.5)] == ["e"] and L.select_marginal({}, {}, {}, 0.1) == []

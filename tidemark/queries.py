@@ -55,4 +55,4 @@ def query(name: str, sql: str | None = None, with_panel: bool = True):
     return register
 
 
-from tidemark import disclosure_queries, panel_queries, selection_queries, universe_queries, validation_queries  # noqa: E402, F401
+from tidemark import disclosure_queries, lifecycle_queries, panel_queries, selection_queries, universe_queries, validation_queries  # noqa: E402, F401
