@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import cross_section as X
 from tidemark.operators import evaluation as E
 from tidemark.operators import holdings as H
 from tidemark.operators import lifecycle as L
 from tidemark.operators import portfolio as P
-from tidemark.panel_queries import RANK
+from tidemark.panel_queries import RANK, _rank
+from tidemark.plans.catalog import component
+from tidemark.plans.expression import compile_frame, compile_sql
 from tidemark.queries import query, r6
 from tidemark.selection_queries import _wide, _wide_sql
 from tidemark.sources.tables import panel, table
@@ -100,3 +103,19 @@ v AS (SELECT date, label, a - avg(a) OVER d - covar_samp(a, z) OVER d / nullif(v
 p AS (SELECT * FROM v WHERE value IS NOT NULL AND label IS NOT NULL) SELECT date::VARCHAR AS date, {r6('covar_samp(value, label) / nullif(stddev_samp(value) * stddev_samp(label), 0)')} AS ic, count(*) AS n FROM p GROUP BY date HAVING count(*) >= 20""")
 def marginal_ic_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.ic_series(L.marginal_on(_wide(spark, sf_dir), "turn", ["rev", "risk"]), "label").select("date", "ic", "n")
+
+
+_PARTS = {"com_north": component("change", "diff", ("turnover",), 4), "com_flow": component("change", "rolling_mean", ("amount",), 12)}
+
+
+def _interaction_sql() -> str:
+    ctes, columns = compile_sql(_PARTS, "panel")
+    listed = ", ".join(f"{sql} AS {name}" for name, sql in columns.items())
+    return f"{ctes}, v AS (SELECT instrument, date, {listed} FROM _last) SELECT instrument, date::VARCHAR AS date, {r6(_rank('com_north') + ' + ' + _rank('com_flow'))} AS resonance FROM v"
+
+
+@query("component_interaction", _interaction_sql())
+def component_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of two components of a date, added; null if either is."""
+    v = compile_frame(panel(spark, sf_dir), _PARTS)
+    return v.select("instrument", "date", (X.rank_pct(C("com_north"), "date") + X.rank_pct(C("com_flow"), "date")).alias("resonance"))

@@ -39,6 +39,35 @@ TRUE_RANGE = f"Greater(Greater({H} - {L}, Abs({H} - Ref($close, 2))), Abs({L} -
 DIF = f"(EMA({P}, 12) - EMA({P}, 26))"
 SHORTCUT = f"((2 * ({H} - {L}) - Abs({O} - {P})) / {positive(A)})"
 
+#: Transforms of a theme's components by (family, mode): fields and a window (or two) to an expression as of the same date.
+TRANSFORMS = {
+    ("level", "direct"): lambda f: f"${f[0]}",
+    ("level", "log"): lambda f: f"Log(Greater(${f[0]}, 0.000000000001))",
+    ("level", "inverse"): lambda f: f"1 / ${f[0]}",
+    ("change", "pct_change"): lambda f, n: f"${f[0]} / Ref(${f[0]}, {n}) - 1",
+    ("change", "diff"): lambda f, n: f"Delta(${f[0]}, {n})",
+    ("change", "rolling_mean"): lambda f, n: f"Mean(${f[0]}, {n})",
+    ("acceleration", "rolling_mean_diff"): lambda f, n, m: f"Mean(${f[0]}, {n}) - Mean(${f[0]}, {m})",
+    ("acceleration", "diff_of_diff"): lambda f, n, m: f"Delta(${f[0]}, {n}) - Delta(${f[0]}, {m})",
+    ("stability", "rolling_vol"): lambda f, n: f"Std(${f[0]} / Ref(${f[0]}, 1) - 1, {n})",
+    ("relative_position", "distance_to_high"): lambda f, n: f"${f[0]} / Max(${f[0]}, {n}) - 1",
+    ("relative_position", "distance_to_low"): lambda f, n: f"${f[0]} / Min(${f[0]}, {n}) - 1",
+    ("relative_position", "distance_to_limit"): lambda f: f"(${f[1]} - ${f[0]}) / ${f[0]}",
+    ("relative_position", "price_to_ma"): lambda f, n: f"${f[0]} / Mean(${f[0]}, {n}) - 1",
+    ("ratio_spread", "midpoint"): lambda f: f"(${f[0]} + ${f[1]}) / 2",
+    ("ratio_spread", "ratio"): lambda f: f"${f[0]} / ${f[1]}",
+    ("ratio_spread", "net_mean"): lambda f, n: f"Mean(${f[0]} - ${f[1]}, {n})",
+    ("ratio_spread", "net_over_net"): lambda f, n: f"Mean(${f[0]} - ${f[1]}, {n}) / Abs(Mean(${f[2]} - ${f[3]}, {n}))",
+    ("ratio_spread", "net_share"): lambda f, n: f"Mean(${f[0]} - ${f[1]}, {n}) / Mean(${f[2]}, {n})",
+    ("persistence", "delta_sum"): lambda f, n: f"Sum(Delta(${f[0]}, 1), {n})",
+}
+
+
+def component(family: str, mode: str, fields: tuple[str, ...], *windows: int) -> str:
+    """The expression of one component; an unknown transform raises KeyError."""
+    return TRANSFORMS[family, mode](fields, *windows)
+
+
 FAMILIES: dict[str, dict[str, str]] = {
     "momentum": {f"mom_{n}": momentum(n) for n in (4, 12, 26, 52)} | {
         "mom_skip_4_26": skip_momentum(4, 26), "mom_wma_12": f"WMA({R}, 12)", "mom_ema_12": f"EMA({R}, 12)",
@@ -85,6 +114,16 @@ FAMILIES: dict[str, dict[str, str]] = {
         "flow_prop_12": f"Sum(({P} - {O}) * {V}, 12) / {positive(f'Sum({A}, 12)')}", "flow_shift_12": f"Sum(Delta({V}, 1), 12) / Sum(Abs(Delta({V}, 1)), 12)", "flow_excess_12": f"{V} / Mean({V}, 12) - ({momentum(12)})",
         "flow_growth_12": f"{V} / (Ref($vol, 13) + 1) - ({momentum(12)})", "flow_accum_12": f"Sum(Delta({V}, 1), 12)", "flow_days_12": f"Sum(1 - IsNull({V}), 12)",
     },
+    "components": {
+        "com_size": component("level", "direct", ("mcap",)), "com_log_size": component("level", "log", ("mcap",)), "com_value": component("level", "inverse", ("pb",)),
+        "com_change": component("change", "pct_change", ("close",), 4), "com_diff": component("change", "diff", ("pb",), 4), "com_amount": component("change", "rolling_mean", ("amount",), 12),
+        "com_accel": component("acceleration", "rolling_mean_diff", ("amount",), 4, 12), "com_accel_diff": component("acceleration", "diff_of_diff", ("turnover",), 4, 12),
+        "com_vol": component("stability", "rolling_vol", ("close",), 12), "com_high": component("relative_position", "distance_to_high", ("close",), 26), "com_low": component("relative_position", "distance_to_low", ("close",), 26),
+        "com_limit": component("relative_position", "distance_to_limit", ("close", "high")), "com_ma": component("relative_position", "price_to_ma", ("close",), 12),
+        "com_mid": component("ratio_spread", "midpoint", ("high", "low")), "com_ratio": component("ratio_spread", "ratio", ("amount", "vol")), "com_net": component("ratio_spread", "net_mean", ("close", "open"), 12),
+        "com_net_net": component("ratio_spread", "net_over_net", ("close", "open", "high", "low"), 12), "com_net_share": component("ratio_spread", "net_share", ("close", "open", "high"), 12),
+        "com_sum": component("persistence", "delta_sum", ("turnover",), 12),
+    },
     "forward": {f"fwd_{h}": forward_return(h) for h in (1, 4, 12)},
 }
 
