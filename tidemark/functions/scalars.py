@@ -11,6 +11,20 @@ def sdiv(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c rounded once, by Dekker's product and Knuth's sum; the plain sum where these overflow."""
+    def halves(x: Column) -> tuple[Column, Column]:
+        high = x * 134217729.0 - (x * 134217729.0 - x)
+        return high, x - high
+
+    (ah, al), (bh, bl), p = halves(a), halves(b), a * b
+    lost = al * bl - (((p - ah * bh) - al * bh) - ah * bl)
+    s = p + c
+    t = s - p
+    out = s + (((p - (s - t)) + (c - t)) + lost)
+    return F.when(F.isnan(out), s).otherwise(out)
+
+
 def parsed_date(text: Column) -> Column:
     """A date from compact or ISO text; null where neither fits."""
     return F.coalesce(F.try_to_date(text, "yyyyMMdd"), F.try_to_date(text, "yyyy-MM-dd"))

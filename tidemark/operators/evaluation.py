@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import sdiv
+from tidemark.functions.scalars import fused, sdiv
 from tidemark.operators.cross_section import rank_pct
 
 
@@ -37,11 +37,20 @@ def ic_summary(series: DataFrame, *by: str, ic: str = "ic") -> DataFrame:
 
 
 def quantile_buckets(long: DataFrame, n: int, *by: str) -> DataFrame:
-    """long with bucket 1..n by right-closed value edges; equal edges count once, nulls get none."""
-    edges = long.where("value IS NOT NULL").groupBy(*by).agg(F.percentile("value", F.array(*[F.lit(i / n) for i in range(1, n)])).alias("_e"))
-    lows = long.groupBy(*by).agg(F.min("value").alias("_m"))
+    """long with bucket 1..n by right-closed value edges; equal edges count once, nulls get none.
+
+    An edge is low * (1 - d) + high * d, the first product and the sum rounded once, as in SQL: values may lie one bit from it.
+    """
+    values = long.where("value IS NOT NULL").groupBy(*by).agg(F.sort_array(F.collect_list(F.col("value").cast("double"))).alias("_v"))
+
+    def edge(q: Column) -> Column:
+        place = (F.size("_v") - 1) * q
+        low, d = F.floor(place).cast("int"), place - F.floor(place)
+        return F.when(d == 0, F.get("_v", low)).otherwise(fused(F.get("_v", low), 1 - d, F.get("_v", low + 1) * d))
+
+    edges = values.select(*by, F.array(*[edge(F.lit(i / n)) for i in range(1, n)]).alias("_e"), F.get("_v", F.lit(0)).alias("_m"))
     inner = F.filter(F.array_distinct("_e"), lambda e: e > F.col("_m"))
-    joined = long.join(edges.join(lows, list(by)).withColumn("_e", inner), list(by), "left")
+    joined = long.join(edges.withColumn("_e", inner), list(by), "left")
     bucket = F.size(F.filter("_e", lambda e: e < F.col("value"))) + 1
     return joined.withColumn("bucket", F.when(F.col("value").isNotNull(), bucket)).drop("_e", "_m")
 
