@@ -194,11 +194,18 @@ def relative_performance(returns: DataFrame, value: str, benchmark: str, per_yea
     return s.select(*by, "n", (F.col("se") * year).alias("tracking_error"), (sdiv(F.col("e"), F.col("se")) * year).alias("information_ratio"), "beta", ((F.col("m") - F.col("beta") * F.col("mb")) * per_year).alias("alpha"))
 
 
-def payoff(returns: DataFrame, value: str, *by: str, tail: float = 0.05) -> DataFrame:
-    """Profit factor (infinite without a loss), mean gain over mean loss (0 without either) and the ratio of the tails."""
+def payoff(returns: DataFrame, value: str, *by: str, tail: float = 0.05, filled: bool = True) -> DataFrame:
+    """Profit factor (infinite without a loss), mean gain over mean loss (0 without either) and the ratio of the tails.
+
+    Unless filled, a ratio that lacks a gain or a loss is null, and a lower tail of 0 divides as doubles do.
+    """
     r = F.col(value)
     gain, loss = F.when(r > 0, r), F.when(r < 0, -r)
     s = returns.groupBy(*by).agg(F.sum(gain).alias("g"), F.sum(loss).alias("l"), F.avg(gain).alias("mg"), F.avg(loss).alias("ml"), F.percentile(r, F.lit(1 - tail)).alias("hi"), F.percentile(r, F.lit(tail)).alias("lo"))
+    if not filled:
+        hi, lo = F.abs("hi"), F.abs("lo")
+        tails = F.when(lo != 0, sdiv(hi, lo)).when(lo == 0, F.when(hi == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf"))))
+        return s.select(*by, sdiv(F.col("g"), F.col("l")).alias("profit_factor"), sdiv(F.col("mg"), F.col("ml")).alias("profit_loss_ratio"), tails.alias("tail_ratio"))
     factor = F.when(F.col("l") > 0, F.coalesce("g", F.lit(0.0)) / F.col("l")).when(F.col("g") > 0, F.lit(float("inf"))).otherwise(0.0)
     return s.select(*by, factor.alias("profit_factor"), F.coalesce(sdiv(F.col("mg"), F.col("ml")), F.lit(0.0)).alias("profit_loss_ratio"), F.coalesce(sdiv(F.abs("hi"), F.abs("lo")), F.lit(0.0)).alias("tail_ratio"))
 
