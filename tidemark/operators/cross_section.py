@@ -13,10 +13,10 @@ from tidemark.functions.scalars import sdiv
 
 
 def rank_pct(x: Column, *by: str) -> Column:
-    """Average-tie rank over the non-null values, in (0, 1]."""
+    """Average-tie rank over the non-null values, in (0, 1]. Ties are counted in the sort that ranks, without a shuffle by value."""
     w = Window.partitionBy(*by)
     low = F.rank().over(w.orderBy(x.asc_nulls_last()))
-    same = F.count(F.lit(1)).over(Window.partitionBy(*[F.col(b) for b in by], x))
+    same = F.count(F.lit(1)).over(w.orderBy(x.asc_nulls_last()).rangeBetween(Window.currentRow, Window.currentRow))
     return F.when(x.isNotNull(), (low + (same - 1) / 2) / F.count(x).over(w))
 
 
